@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from tidemark.llm.minhash import OP4_SQL, op4_near_duplicates
+from tidemark.llm.mixing import OP2_SQL, op2_mixing
 from tidemark.llm.toxicity import op1_toxicity
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_mixing": op2_mixing,
+        "op4_near_duplicates": op4_near_duplicates,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op10_decontaminate": OP10_SQL}
