@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.ann import op9_ann
 from tidemark.llm.chat import OP8_SQL, op8_chat
 from tidemark.llm.decontaminate import OP10_SQL, op10_decontaminate
+from tidemark.llm.licenses import op3_licenses
 from tidemark.llm.minhash import OP4_SQL, op4_near_duplicates
 from tidemark.llm.mixing import OP2_SQL, op2_mixing
 from tidemark.llm.token_counts import op7_token_counts
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
+        "op3_licenses": op3_licenses,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_warc": op6_warc,
         "op7_token_counts": op7_token_counts,
