@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
@@ -75,17 +75,3 @@ def bounded_batches(spark: SparkSession, records: int = 1000, size: str = "32m")
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers can import it anywhere."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemark_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="tidemark-ship-")) / "tidemark_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent).as_posix())
-    sc.addPyFile(str(target))
-    sc._tidemark_shipped = True

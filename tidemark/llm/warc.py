@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull
 
-from tidemark.llm.common import fresh_path, ship, small, table, written
+from tidemark.llm.common import fresh_path, small, table, written
+from tidemark.session import ship
 
 NL = "\r\n"
 REVISIT = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
