@@ -7,7 +7,7 @@ and a join, whose large partitions adaptive execution splits: no neighbourhood i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop_written, written
@@ -18,7 +18,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     # (u, v) with v > u is e itself, kept as u < v
-    return e.join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+    return e.join(least, "u").select(F.col("m").alias("u"), "v")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -28,9 +28,11 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("u"), "v")).distinct()
 
 
-def _state(e: DataFrame):
-    r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return r.n, r.h
+def _written_state(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges and their number and hash sum, observed while they are written."""
+    seen = Observation()
+    e = written(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), "edges")
+    return e, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -40,12 +42,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     `most_rounds` rounds don't settle it (the number needed grows with the logarithm of the longest path).
     """
     e = edges.where("u is not null and v is not null and u <> v")
-    e = written(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    before = _state(e)
+    e, before = _written_state(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     for _ in range(most_rounds if before[0] else 0):
-        after = written(_small_star(_large_star(e)), "edges")
+        after, now = _written_state(_small_star(_large_star(e)))
         drop_written(e)
-        e, now = after, _state(after)
+        e = after
         if now == before:
             break
         before = now

@@ -6,8 +6,8 @@
 3. Round one compares each member of a bucket with the bucket's least member only: as many pairs as members.
    Pairs pass the signature check, then the exact check 100 * intersection >= percent * union on full sets.
 4. Components of these links. Round two takes the buckets that still hold several components and compares all
-   their pairs from different components, so no link that could join two components is lost, while a group of
-   a million mutual near-copies costs a million comparisons and not their square.
+   their pairs from different components, in large buckets block by block, so no link that could join two components
+   is lost, while a group of a million mutual near-copies costs a million comparisons and not their square.
 
 With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**6)**40 = 5e-6, and a pair
 at 0.3 does share one with probability 0.03: passages that many documents share make few needless pairs.
@@ -143,27 +143,102 @@ def _alike(p: MinHashParams):
     return run
 
 
+def _class_sets(needed: DataFrame, docs: DataFrame, p: MinHashParams, most: int) -> DataFrame:
+    """(cid, set) of the classes (cid, d1, d2, least_id), from the whole texts of the documents that stand for them."""
+    ids = small(needed.select(F.col("least_id").alias("doc_id")).distinct(), most)
+    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(p), "d1 long, d2 long, set array<long>").join(small(needed, most), ["d1", "d2"])
+    return written(sets.dropDuplicates(["cid"]).select("cid", "set"), "sets")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: MinHashParams, most: int) -> DataFrame:
     """The pairs (a, b) of class ids whose full sets are similar enough."""
     sig = classes.select("cid", "sig")
     signed = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     close = written(signed.mapInArrow(_alike(p), "a long, b long"), "close")
     needed = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    needed = written(classes.select("cid", "d1", "d2", "least_id").join(needed, "cid", "left_semi"), "needed")
-    # whole texts only of the documents that stand for a class in question
-    ids = small(needed.select(F.col("least_id").alias("doc_id")).distinct(), most)
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(p), "d1 long, d2 long, set array<long>").join(small(needed, most), ["d1", "d2"])
-    sets = written(sets.dropDuplicates(["cid"]).select("cid", "set"), "sets")
+    sets = _class_sets(written(classes.select("cid", "d1", "d2", "least_id").join(needed, "cid", "left_semi"), "needed"), docs, p, most)
     both = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
     return written(both.where(f"100 * cast(n as long) >= {p.percent} * cast(nx + ny - n as long)").select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), most: int = 1_000_000) -> DataFrame:
+def block_links(x: list[np.ndarray], y: list[np.ndarray], percent: int, width: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) with 100 * |x[i] & y[j]| >= percent * |x[i] | y[j]|, by products of membership matrices over common elements."""
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    sizes = [np.array([len(s) for s in side], np.float64) for side in (x, y)]
+    shared = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(common), width):
+        part = common[at : at + width]
+        sides = []
+        for side in (x, y):
+            m = np.zeros((len(side), len(part)), np.float32)
+            for i, s in enumerate(side):
+                k = np.searchsorted(part, s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")])
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                m[i, k[part[np.minimum(k, len(part) - 1)] == s]] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    n = shared.astype(np.float64)
+    return np.nonzero(100 * n >= percent * (sizes[0][:, None] + sizes[1] - n))
+
+
+def _block_task(p: MinHashParams):
+    def run(rows: pa.Table) -> pa.Table:
+        left = np.flatnonzero(rows.column("side").to_numpy() == 0)
+        right = np.flatnonzero(rows.column("side").to_numpy() == 1)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(left) and len(right):
+            cid, root = rows.column("cid").to_numpy(), rows.column("root").to_numpy()
+            sets = rows.column("set").combine_chunks()
+            cuts, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+            pick = lambda at: [flat[cuts[i] : cuts[i + 1]] for i in at]
+            i, j = block_links(pick(left), pick(right), p.percent)
+            i, j = left[i], right[j]
+            apart = root[i] != root[j]
+            a, b = np.minimum(cid[i], cid[j])[apart], np.maximum(cid[i], cid[j])[apart]
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _between_roots(member: DataFrame, root: DataFrame, tested: DataFrame, classes: DataFrame, docs: DataFrame, p: MinHashParams, most: int, bucket: int, block: int) -> DataFrame:
+    """All links between members of one bucket that lie in different components.
+
+    A bucket's largest component is its main one; members of others are strays, and each is compared with the whole
+    bucket. In buckets of up to `bucket` members that gives fewer than `bucket` pairs a member, which are listed, made
+    distinct and verified. Larger buckets are cut into blocks, strays by members, and each pair of blocks is compared
+    in one task that returns links only: rows grow with the number of blocks, not with the number of pairs.
+    """
+    placed = member.join(root, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where("roots > 1")
+    mixed = small(written(mixed.select("key", "main", "n", "n_main"), "mixed"), most)
+    placed = written(placed.join(mixed, "key"), "placed")
+    few = placed.where(F.col("n") <= bucket)
+    x, y = few.where("root <> main").select(F.col("key"), F.col("cid").alias("a"), F.col("root").alias("ra"), "main"), few.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"))
+    rest = x.join(y, "key").where("ra <> rb and (rb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    links = _verified(rest, classes, docs, p, most)
+    many = placed.where(F.col("n") > bucket)
+    needed = written(classes.select("cid", "d1", "d2", "least_id").join(many.select("cid").distinct(), "cid", "left_semi"), "needed")
+    if needed.isEmpty():
+        return links
+    # strays and members are dealt into blocks by hash; every stray meets every block of members, every member every block of strays
+    strays, members = F.ceil((F.col("n") - F.col("n_main")) / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    at = lambda blocks, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), blocks).cast("int")
+    all_of = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = many.where("root <> main").select("key", "cid", "root", F.lit(0).alias("side"), at(strays, 1).alias("i"), all_of(members).alias("j"))
+    right = many.select("key", "cid", "root", F.lit(1).alias("side"), at(members, 2).alias("j"), all_of(strays).alias("i"))
+    rows = left.unionByName(right).join(_class_sets(needed, docs, p, most), "cid")
+    found = rows.groupBy("key", "i", "j").applyInArrow(_block_task(p), "a long, b long")
+    return links.union(written(found.distinct(), "links"))
+
+
+def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), most: int = 1_000_000, bucket: int = 16, block: int = 256) -> DataFrame:
     """(doc_id, mark, n_shingles, component_id, kept) per row of docs (doc_id, text); mark is xxhash64(text).
 
-    most: rows of two numbers up to which a side is broadcast; beyond, Spark shuffles it.
+    most: rows of a few numbers up to which a side is broadcast; beyond, Spark shuffles it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -175,25 +250,20 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), most: i
     full = signed.where("n_shingles > 0")
     # a class for each distinct set; partial sums take a hot group of copies before the shuffle
     named = written(full.groupBy("d1", "d2").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id")), "classes")
-    classes = full.select(F.col("uid").alias("cid"), "keys", "sig").join(named, "cid")
+    classes = written(full.select(F.col("uid").alias("cid"), "keys", "sig").join(named, "cid"), "representatives")
     member = classes.select("cid", F.explode("keys").alias("key"))
     shared = written(member.groupBy("key").agg(F.min("cid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "shared")
-    member = written(member.join(shared, "key"), "members")
+    member = written(member.join(small(shared, most), "key"), "members")
     # round one: each member against its bucket's least
     stars = written(member.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
-    links = _verified(stars, classes, docs, p, most)
-    root = written(components(links.toDF("u", "v")), "roots")
-    # round two: buckets that still hold several components
-    placed = member.join(root, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = written(by_root.groupBy("key").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main"), "mixed")
-    placed = written(placed.join(mixed, "key"), "placed")
-    x, y = placed.where("root <> main").toDF("key", "a", "ra", "main"), placed.select("key", "cid", "root").toDF("key", "b", "rb")
-    rest = x.join(y, "key").where("ra <> rb and (rb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, classes, docs, p, most)
-    root = written(components(links.union(more).toDF("u", "v")), "roots")
-    owner = named.join(root, F.col("cid") == F.col("node"), "left").select("d1", "d2", "least_id", F.coalesce("root", "cid").alias("root"))
+    root = written(components(_verified(stars, classes, docs, p, most).toDF("u", "v")), "roots")
+    # round two: buckets that still hold several components; its links join components, so these are its nodes
+    more = _between_roots(member.select("key", "cid"), root, stars, classes, docs, p, most, bucket, block)
+    of = lambda c, name: F.coalesce(F.col(c), F.col(name))
+    joined = more.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
+    again = written(components(joined.select(of("ra", "a").alias("u"), of("rb", "b").alias("v"))), "roots")
+    owner = named.join(root, F.col("cid") == F.col("node"), "left").select("d1", "d2", "least_id", F.coalesce("root", "cid").alias("first"))
+    owner = owner.join(again, F.col("first") == F.col("node"), "left").select("d1", "d2", "least_id", F.coalesce("root", "first").alias("root"))
     least = owner.groupBy("root").agg(F.min("least_id").alias("component_id"))
     owner = written(owner.join(least, "root").select("d1", "d2", "component_id"), "owners")
     alone = signed.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
