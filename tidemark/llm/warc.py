@@ -187,7 +187,7 @@ class WarcReader(DataSourceReader):
         files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and x.base_name[0] not in "._")
         plan, size = [], self.partition_bytes
         for path, n in files:
-            if size + n > self.partition_bytes:
+            if not plan or size + n > self.partition_bytes:
                 plan.append(Files([]))
                 size = 0
             plan[-1].paths.append(prefix + path)
