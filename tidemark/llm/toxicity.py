@@ -2,7 +2,8 @@
 
 Words are runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased. A document's features are
 the distinct buckets of its words, word pairs and pairs one word apart, so a text that repeats a phrase
-counts it once and a long text isn't diluted. Per-coordinate rates and L1 leave a few hundred weights,
+counts it once and a long text isn't diluted. Pairs pay twice the L1 of words, and positive rows count three times, as
+they are few. Per-coordinate rates and L1 leave a few hundred weights,
 which are small enough to broadcast whatever the corpus.
 
 The classifier is fitted on at most `max_train` labelled rows, those whose hashed doc_id is smallest, and of
@@ -39,16 +40,18 @@ class FtrlParams:
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 8.0
+    l1_pairs: float = 16.0
+    positive: float = 3.0
     l2: float = 0.01
 
 
 def document_features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every word, pair and skip-pair of a column, not yet made distinct."""
+    """(document, bucket) of every word, pair and skip-pair of a column, not yet made distinct; words have the upper half of the buckets."""
     found = words(column, ALNUM)
     h = found.hashes()
     doc = np.repeat(np.arange(len(found.counts)), found.counts)
-    shift = U64(64 - bits)
-    docs, buckets = [doc], [mix(h ^ KINDS["word"]) >> shift]
+    shift = U64(65 - bits)
+    docs, buckets = [doc], [mix(h ^ KINDS["word"]) >> shift | U64(1 << (bits - 1))]
     pairs = ngrams(h, 2)
     same = doc[:-1] == doc[1:]
     docs.append(doc[:-1][same])
@@ -84,16 +87,18 @@ class Ftrl:
         self.p, size = p, (1 << p.bits) + 1
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.bias = 1 << p.bits
+        self.l1 = np.full(size, p.l1)
+        self.l1[: size // 2] = p.l1_pairs
+        self.l1[self.bias] = 0.0
 
     def weights(self, at: np.ndarray) -> np.ndarray:
-        z, p = self.z[at], self.p
-        l1 = np.where(at == self.bias, 0.0, p.l1)
+        z, p, l1 = self.z[at], self.p, self.l1[at]
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((p.beta + np.sqrt(self.n[at])) / p.alpha + p.l2))
 
     def learn(self, buckets: np.ndarray, label: int) -> None:
         at = np.append(buckets, self.bias)
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (self.p.positive if label else 1.0)
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.p.alpha * w
         self.n[at] = n + g * g
