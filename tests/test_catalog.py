@@ -1,4 +1,4 @@
-"""Every query of the catalog against its SQL in DuckDB, on the smallest tables."""
+"""Every query of the catalog against its SQL in DuckDB, on small tables."""
 
 import math
 import os
@@ -17,6 +17,11 @@ def plain(v):
     return v
 
 
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.01"  # the smallest has too few keys for the ranges
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
@@ -35,7 +40,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=repr)
     assert mine == theirs
-    assert mine or name == "version_diff"
+    assert mine
 
 
 def test_every_query_is_registered():

@@ -52,11 +52,14 @@ def segments(log: DataFrame) -> DataFrame:
 
 
 SEGS = "segs AS (SELECT seg, k, max(seq) AS seq, arg_max(tomb, seq) AS tomb, arg_max(v, seq) AS v FROM {log} GROUP BY seg, k)"
-#: Bytes of a record with a 4-byte key and an 8-byte value, and of a file's head.
-ROW = F.lit(4) + codec.value_size(F.col("tomb"), F.lit(8))
+#: Bytes of a record with a 4-byte key and an 8-byte value.
 ROW_SQL = "(4 + 9 + CASE WHEN tomb THEN 0 ELSE 12 END)"
 
 
+def _row_bytes():
+    return F.lit(4) + codec.value_size(F.col("tomb"), F.lit(8))
+
+
 def live_view(spark, d):
     return reads.live(orders_log(spark, d).drop("seg"), **NAMES)
 
@@ -90,7 +93,7 @@ def manifest(spark, d):
 
 
 def segment_bytes(spark, d):
-    return segments(orders_log(spark, d)).groupBy("seg").agg((F.lit(codec.FILE_HEAD) + F.sum(ROW)).cast("long").alias("bytes"))
+    return segments(orders_log(spark, d)).groupBy("seg").agg((F.lit(codec.FILE_HEAD) + F.sum(_row_bytes())).cast("long").alias("bytes"))
 
 
 def sparse_index(spark, d):
@@ -123,7 +126,7 @@ def merge_retain(spark, d):
 
 
 def _levelled(log: DataFrame, target: int) -> DataFrame:
-    rows = reads.live(log.drop("seg"), **NAMES).withColumn("bytes", ROW.cast("long"))
+    rows = reads.live(log.drop("seg"), **NAMES).withColumn("bytes", _row_bytes().cast("long"))
     return merge.level_split(rows, "bytes", target, "k")
 
 
@@ -157,8 +160,8 @@ def space_amp(spark, d):
 
 def write_amp(spark, d):
     log = orders_log(spark, d)
-    put = log.agg(F.sum(ROW).alias("put"))
-    files = segments(log).groupBy("seg").agg((F.lit(codec.FILE_HEAD) + F.sum(ROW)).alias("b")).agg(F.sum("b").alias("written"))
+    put = log.agg(F.sum(_row_bytes()).alias("put"))
+    files = segments(log).groupBy("seg").agg((F.lit(codec.FILE_HEAD) + F.sum(_row_bytes())).alias("b")).agg(F.sum("b").alias("written"))
     return files.join(F.broadcast(put)).select((F.col("written") / F.col("put")).alias("write_amp"))  # one row each
 
 
