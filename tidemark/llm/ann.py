@@ -9,8 +9,10 @@ every row is indexed.
 Search: rows are dealt into shards of about `shard` rows by hashed id and queries into blocks of `block`; each (shard, block)
 pair is one task, so neither side is ever gathered whole, and only blocks of the stated query set are repeated. In
 a task equal vectors are scanned once, two codes make one byte and two pieces' tables one of 256 sums, so a candidate
-costs a look-up a byte; the `keep` best of each query are reranked by exact double-precision products and the k best,
-ties to smaller ids, leave the task. Equal vectors share a product, so the k smallest ids of each are all that can count:
+costs a look-up a byte. The `keep` best of each query are reranked by exact double-precision products; their (k+1)-th best
+is a floor, and every vector whose scanned product could still reach it, by the length of what its code leaves of it, is
+reranked too: codes that don't tell the members of a dense cluster apart cost time and not recall. The k best, ties to
+smaller ids, leave the task. Equal vectors share a product, so the k smallest ids of each are all that can count:
 this is the exact way for buckets of any size.
 
 Edges: null, empty, zero vectors and vectors that hold null or non-finite components take no part. Neither do rows with a null
@@ -103,6 +105,9 @@ class Codebook:
                     self.centres[m, c] = np.linalg.solve(a, b)
             along = rest + ((y[:, m] - self.centres[m][codes[:, m]]) * u).sum(axis=1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return self.centres[np.arange(self.pieces), codes].reshape(len(codes), -1)[:, : self.d]
+
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return codes[:, 0::2] | codes[:, 1::2] << 4
 
@@ -121,6 +126,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, added from the first component to the last: equal vectors give equal doubles wherever they stand."""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, book: Codebook, p: AnnParams):
     """(query, rank candidates) of one shard: arrays query_id, vec_id, score with at most k rows for each query."""
     order = np.argsort(ids, kind="stable")
@@ -129,7 +139,10 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     u = x[first]
     group = np.argsort(same, kind="stable")  # rows by distinct vector, ids ascending within
     begin = np.searchsorted(same[group], np.arange(len(first) + 1))
-    packed = np.ascontiguousarray(book.pack(book.encode(u)).T)
+    codes = book.encode(u)
+    packed = np.ascontiguousarray(book.pack(codes).T)
+    # a product can't exceed the scanned one by more than the query's length times what the code leaves of the vector
+    left = np.linalg.norm(u - book.decode(codes), axis=1) + 1e-5 * np.linalg.norm(u, axis=1)
     out_q, out_v, out_s = [], [], []
     for i in range(0, len(q), 64):
         part = q[i : i + 64]
@@ -140,8 +153,13 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         keep = min(p.keep, len(u))
         best = np.argpartition(-approx, keep - 1, axis=1)[:, :keep] if keep < len(u) else np.tile(np.arange(len(u)), (len(part), 1))
         for j in range(len(part)):
-            exact = (u[best[j]] * part[j]).sum(axis=1)
-            good = best[j][np.argsort(-exact, kind="stable")]
+            rank = best[j]
+            if keep < len(u):
+                first_exact = _products(u[rank], part[j])
+                least = np.partition(first_exact, keep - p.k - 1)[keep - p.k - 1] if keep > p.k else -np.inf
+                rank = np.flatnonzero(approx[j] + np.linalg.norm(part[j]) * left >= least)
+            exact = _products(u[rank], part[j])
+            good = rank[np.argsort(-exact, kind="stable")]
             score = -np.sort(-exact, kind="stable")
             # enough distinct vectors for k rows; each gives its k + 1 smallest ids at most, one may be the query's own
             size = np.minimum(begin[good + 1] - begin[good], p.k + 1)
@@ -210,3 +228,14 @@ def brute_force(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
         order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
         out[int(i)] = [int(ids[j]) for j in order]
     return out
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM (SELECT DISTINCT * FROM v) q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+QUALIFY rank <= 20
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.ann import op9_ann
+from tidemark.llm.ann import OP9_SQL, op9_ann
 from tidemark.llm.chat import OP8_SQL, op8_chat
 from tidemark.llm.decontaminate import OP10_SQL, op10_decontaminate
 from tidemark.llm.hmm import op5_hmm
@@ -37,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op6_warc": OP6_SQL, "op8_chat": OP8_SQL, "op9_ann": OP9_SQL, "op10_decontaminate": OP10_SQL}
