@@ -109,20 +109,23 @@ def read_amp_range(spark, d):
 
 
 def floor_key(spark, d):
-    return reads.floor_key(events_log(spark, d).where("k % 3 = 0"), spark.range(200).toDF("probe"), "k")
+    return reads.floor_key(reads.live(events_log(spark, d), **NAMES), spark.range(200).toDF("probe"), "k")
 
 
 def ceiling_key(spark, d):
-    return reads.ceiling_key(orders_log(spark, d).where("seg = 0"), spark.range(1600).toDF("probe"), "k")
+    return reads.ceiling_key(reads.live(orders_log(spark, d), **NAMES), spark.range(1600).toDF("probe"), "k")
 
 
 def merge_drop_all(spark, d):
-    return merge.latest(orders_log(spark, d).where("seg <= 2").drop("seg"), key="k").where("not tomb")
+    """All segments merged into one: nothing older is left, so no tombstone survives."""
+    log = segments(orders_log(spark, d)).withColumnRenamed("tomb", "tombstone").drop("seg")
+    return merge.merge_drop_all(log, key="k").withColumnRenamed("tombstone", "tomb")
 
 
 def merge_retain(spark, d):
-    log = orders_log(spark, d).withColumnRenamed("tomb", "tombstone")
-    return merge.merge_retain(log.where("seg <= 2").drop("seg"), log.where("seg between 3 and 5"), "k").withColumnRenamed("tombstone", "tomb")
+    """Every second segment is merged, the others stay outside and are what tombstones may still have to hide."""
+    log = segments(orders_log(spark, d)).withColumnRenamed("tomb", "tombstone")
+    return merge.merge_retain(log.where("seg % 2 = 1").drop("seg"), log.where("seg % 2 = 0"), "k").withColumnRenamed("tombstone", "tomb")
 
 
 def _levelled(log: DataFrame, target: int) -> DataFrame:
@@ -195,10 +198,10 @@ def ycsb_e_ranges(spark, d):
 
 
 def read_modify_write(spark, d):
-    """Every seventh key's value is raised by one in a new version; the state after it."""
+    """Every live key's value is raised by one in a new version; the state after it."""
     log = orders_log(spark, d).drop("seg")
     now = reads.live(log, **NAMES)
-    new = now.where("k % 7 = 0").select("k", (F.col("seq") + 1_000_000_000).alias("seq"), F.lit(False).alias("tomb"), (F.col("v") + 1).alias("v"))
+    new = now.select("k", (F.col("seq") + 1_000_000_000).alias("seq"), F.lit(False).alias("tomb"), (F.col("v") + 1).alias("v"))
     return reads.live(log.unionByName(new), **NAMES)
 
 
@@ -341,10 +344,10 @@ SQL = {
     "sparse_index": f"WITH {EVENTS}, {SEGS.format(log='events_log')} SELECT * FROM (SELECT seg, k, (row_number() OVER (PARTITION BY seg ORDER BY k) - 1)::INTEGER AS place FROM segs) WHERE place % 16 = 0",
     "read_amp_range": f"WITH {EVENTS}, {SEGS.format(log='events_log')}, m AS (SELECT seg, min(k) AS lo, max(k) AS hi FROM segs GROUP BY seg) "
     "SELECT p.range AS key, count(seg) AS consulted FROM range(200) p LEFT JOIN m ON p.range BETWEEN lo AND hi GROUP BY p.range",
-    "floor_key": f"WITH {EVENTS} SELECT p.range AS probe, (SELECT max(k) FROM events_log WHERE k % 3 = 0 AND k <= p.range) AS floor FROM range(200) p",
-    "ceiling_key": f"WITH {ORDERS} SELECT p.range AS probe, (SELECT min(k) FROM orders_log WHERE seg = 0 AND k >= p.range) AS ceiling FROM range(1600) p",
-    "merge_drop_all": f"WITH {ORDERS} {_live_sql('orders_log', 'seg <= 2')}",
-    "merge_retain": f"WITH {ORDERS} SELECT * FROM ({_latest_sql('orders_log', 'seg <= 2')}) WHERE NOT tomb OR k IN (SELECT k FROM orders_log WHERE seg BETWEEN 3 AND 5)",
+    "floor_key": f"WITH {EVENTS} SELECT p.range AS probe, (SELECT max(k) FROM ({_live_sql('events_log')}) WHERE k <= p.range) AS floor FROM range(200) p",
+    "ceiling_key": f"WITH {ORDERS} SELECT p.range AS probe, (SELECT min(k) FROM ({_live_sql('orders_log')}) WHERE k >= p.range) AS ceiling FROM range(1600) p",
+    "merge_drop_all": f"WITH {ORDERS} {_live_sql('orders_log')}",
+    "merge_retain": f"WITH {ORDERS} SELECT * FROM ({_latest_sql('orders_log', 'seg % 2 = 1')}) WHERE NOT tomb OR k IN (SELECT k FROM orders_log WHERE seg % 2 = 0)",
     "level_split": f"WITH {EVENTS}, {_FILES.format(live=_live_sql('events_log'), target=300)} SELECT k, file FROM files",
     "keys_per_file": f"WITH {ORDERS}, {_LEVELLED} SELECT file, count(*) AS entries FROM files GROUP BY file",
     "segment_overlap": f"WITH {ORDERS}, {_LEVELLED}, {_BOUNDS} SELECT * FROM bounds WHERE min_key <= 400 AND max_key >= 300",
@@ -360,7 +363,7 @@ SQL = {
     "encoded_key_hex": f"WITH {ORDERS} SELECT DISTINCT k, lpad(upper(to_hex(k + 2147483648)), 8, '0') AS encoded FROM orders_log",
     "key_order": "SELECT c_name AS name, hex(encode(c_name)) || '0000' AS encoded, row_number() OVER (ORDER BY c_name)::INTEGER AS place FROM (SELECT DISTINCT c_name FROM customer)",
     "ycsb_e_ranges": f"WITH {ORDERS} SELECT r.range AS r, count(k) AS n FROM range(50) r LEFT JOIN ({_live_sql('orders_log')}) l ON k BETWEEN r.range * 29 AND r.range * 29 + r.range % 10 + 1 GROUP BY r.range",
-    "read_modify_write": f"WITH {ORDERS} SELECT k, CASE WHEN k % 7 = 0 THEN seq + 1000000000 ELSE seq END AS seq, tomb, CASE WHEN k % 7 = 0 THEN v + 1 ELSE v END AS v FROM ({_live_sql('orders_log')})",
+    "read_modify_write": f"WITH {ORDERS} SELECT k, seq + 1000000000 AS seq, tomb, v + 1 AS v FROM ({_live_sql('orders_log')})",
     "size_tiered_buckets": f"WITH RECURSIVE {ORDERS}, {SEGS.format(log='orders_log')}, b AS (SELECT seg, ((16 + sum({ROW_SQL})) * (seg % 5 + 1))::BIGINT AS bytes FROM segs GROUP BY seg), "
     "o AS (SELECT *, row_number() OVER (ORDER BY bytes, seg) AS i FROM b), "
     "f AS (SELECT i, seg, bytes, 0 AS tier, bytes AS anchor FROM o WHERE i = 1 UNION ALL "
