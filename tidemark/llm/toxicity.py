@@ -183,5 +183,4 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that score under 0.5; learns from the labels of the documents it is given."""
     model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
-    # the text alone goes to Python and back; the columns beside it stay as they are
     return score(docs, model, column="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
