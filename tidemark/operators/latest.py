@@ -6,7 +6,7 @@ versions costs no more than any other. Tombstones are dropped after the merge, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,8 +68,6 @@ def _neighbour(keys: DataFrame, probes: DataFrame, key: str, probe: str, down: b
     """Range partitions of both sides together; the nearest key beyond a partition comes from the partitions' extremes."""
     k = keys.select(F.col(key).alias("x"), F.lit(0).alias("is_probe")).distinct()
     both = k.unionByName(probes.select(F.col(probe).alias("x"), F.lit(1).alias("is_probe")))
-    from pyspark.sql import Window
-
     cuts = both.repartitionByRange("x").withColumn("part", F.spark_partition_id())
     # the partitions' extremes: one row per partition
     edge = cuts.where("is_probe = 0").groupBy("part").agg((F.max if down else F.min)("x").alias("edge"))

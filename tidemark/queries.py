@@ -168,6 +168,15 @@ def write_amp(spark, d):
     return files.join(F.broadcast(put)).select((F.col("written") / F.col("put")).alias("write_amp"))  # one row each
 
 
+def flush_segments(spark, d):
+    """The order log cut into flushes by the bytes that a write buffer counts; puts and bytes of each."""
+    from tidemark.operators.flush import flush_boundaries
+
+    log = orders_log(spark, d).select(F.col("k").cast("int").alias("k"), "seq", "tomb")
+    cut = flush_boundaries(log, 8192, F.lit(8), "k", "seq", "tomb")
+    return cut.groupBy("flush").agg(F.count("*").alias("puts"), F.countDistinct("k").alias("keys"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
 def tombstone_count(spark, d):
     return segments(orders_log(spark, d)).groupBy("seg").agg(F.count_if("tomb").alias("tombstones"))
 
@@ -320,7 +329,7 @@ QUERIES = {
         live_view, latest_raw, scan_range, scan_limit, multi_get, point_get, time_travel, manifest, segment_bytes, sparse_index, read_amp_range, floor_key,
         ceiling_key, merge_drop_all, merge_retain, level_split, keys_per_file, segment_overlap, read_amp_levelled, space_amp, write_amp, tombstone_count,
         version_diff, shadowed_versions, encoded_key_hex, key_order, ycsb_e_ranges, read_modify_write, size_tiered_buckets, bloom_fpr, wal_replay,
-        store_scan, store_compacted, stream_latest,
+        store_scan, store_compacted, stream_latest, flush_segments,
     )
 }
 
