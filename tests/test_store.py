@@ -44,6 +44,29 @@ def test_scan_with_deletes_and_tail(spark, store):
     assert bytes(got[1]) == b"v1" and got[3] is None and got[99] is None
 
 
+def test_disjoint_segments_need_no_shuffle(spark, store):
+    for low in (0, 100):
+        store.put_batch(puts(spark, [(low + i, "x") for i in range(10)]))
+        store.flush()
+    plan = store.snapshot().live()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and store.snapshot().live().count() == 20
+    store.put_batch(puts(spark, [(105, "new")]))
+    assert "Exchange" in store.snapshot().live()._jdf.queryExecution().executedPlan().toString()
+    assert store.get(105) == b"new" and len(state(store.scan(100, 200))) == 10
+
+
+def test_many_ranges_at_once(spark, store):
+    store.put_batch(puts(spark, [(i, f"v{i}") for i in range(50)]))
+    store.flush()
+    store.delete_batch(keys(spark, [7]))
+    ranges = spark.createDataFrame([(1, 5, 9), (2, 45, 99), (3, 9, 5), (4, 60, 70), (5, 0, 49)], "range_id int, low int, high int")
+    got = {}
+    for r in store.multi_scan(ranges, limit=4).collect():
+        got.setdefault(r.range_id, []).append(r.key)
+    assert {k: sorted(v) for k, v in got.items()} == {1: [5, 6, 8, 9], 2: [45, 46, 47, 48], 5: [0, 1, 2, 3]}
+    assert store.multi_scan(ranges.where("false")).count() == 0
+
+
 def test_later_row_of_a_batch_wins_and_seq_is_dense(spark, store):
     store.put_batch(puts(spark, [(1, "a"), (1, "b"), (2, "c")]))
     assert state(store.scan()) == [(1, "b"), (2, "c")]

@@ -14,15 +14,17 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions import bloom, codec
 from tidemark.operators import latest as reads
 from tidemark.operators.compaction import Leveled, Selector, SizeTiered
 from tidemark.operators.merge import level_split
 from tidemark.schema import checked, record_schema
+from tidemark.session import ship
 from tidemark.sources.manifest import CommitConflict, Manifest, Segment, Version
 
 
@@ -53,9 +55,49 @@ class Snapshot:
         rows = self._rows(s for s in (*v.segments, *v.tail) if s.overlaps(low, high))
         return reads.between(rows, low, high)
 
+    def live(self, low=None, high=None) -> DataFrame:
+        """Live rows between the bounds. Segments hold a key once, so those whose key range no other part touches need no merge
+        and no shuffle; only parts that overlap are merged."""
+        v = self.version
+        alone, mixed = _apart([s for s in v.segments if s.overlaps(low, high)], [s for s in v.tail if s.overlaps(low, high)])
+        merged = reads.live(reads.between(self._rows(mixed), low, high))
+        if not alone:
+            return merged
+        plain = reads.between(self._rows(alone), low, high).where("not tombstone")
+        return plain.unionByName(merged) if mixed else plain
+
     def scan(self, low=None, high=None, limit: int | None = None) -> DataFrame:
         """(key, value) in key order, bounds inclusive."""
-        return reads.scan(self.log(low, high), low, high, limit).select("key", "value")
+        rows = self.live(low, high).select("key", "value").orderBy("key")
+        return rows if limit is None else rows.limit(limit)
+
+    def multi_scan(self, ranges: DataFrame, limit: int | None = None, most: int = 1_000_000) -> DataFrame:
+        """(range_id, key, value) of many ranges (range_id, low, high) at once, bounds inclusive, the first `limit` keys of each.
+
+        The live rows are read once; each task sorts its batch and cuts every range out of it by binary search. Ranges are
+        broadcast in blocks of `most`.
+        """
+        ship(self.store.spark)
+        rows = self.live().select("key", "value")
+        kind = self.store.key_type
+        schema = T.StructType([ranges.schema["range_id"], T.StructField("key", kind), T.StructField("value", T.BinaryType())])
+        asked = ranges.select("range_id", "low", "high").where("low <= high")
+        found, block = None, []
+
+        def of(block: list) -> DataFrame:
+            shared = self.store.spark.sparkContext.broadcast(sorted(((r.low, r.high, r.range_id) for r in block), key=lambda r: r[0]))
+            return rows.mapInArrow(_cut(shared, limit, to_arrow_type(ranges.schema["range_id"].dataType)), schema)
+
+        for r in asked.toLocalIterator():
+            block.append(r)
+            if len(block) == most:
+                found, block = (of(block) if found is None else found.union(of(block))), []
+        if block or found is None:
+            found = of(block) if found is None else found.union(of(block))
+        if limit is not None:
+            first = Window.partitionBy("range_id").orderBy("key")
+            found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).drop("n")
+        return found
 
     def get_row(self, key) -> DataFrame:
         """The latest version of one key, a tombstone too."""
@@ -71,7 +113,7 @@ class Snapshot:
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
         """(key, value) for each probed key, value null where absent or deleted."""
-        return reads.multi_get(self.log(), probes.select("key")).select("key", "value")
+        return probes.select("key").join(self.live().select("key", "value"), "key", "left").select("key", "value")
 
 
 class Store:
@@ -115,6 +157,9 @@ class Store:
     def multi_get(self, probes: DataFrame) -> DataFrame:
         return self._once().multi_get(probes)
 
+    def multi_scan(self, ranges: DataFrame, limit: int | None = None) -> DataFrame:
+        return self._once().multi_scan(ranges, limit)
+
     def as_of(self, seq: int) -> DataFrame:
         """Live rows as they were at seq. Exact as far back as no flush or compaction has merged versions away."""
         return reads.live(reads.as_of(self._once().log(), seq)).select("key", "value")
@@ -349,6 +394,47 @@ class Store:
         return deleted
 
 
+def _apart(segments: list[Segment], tail: list[Segment]) -> tuple[list[Segment], list[Segment]]:
+    """(segments whose key range no other part touches, all other parts)."""
+    parts = sorted((s for s in (*segments, *tail)), key=lambda s: s.min_key)
+    alone, mixed, reach = [], list(tail), None
+    names = {s.path for s in tail}
+    for i, s in enumerate(parts):
+        before = reach is not None and s.min_key <= reach
+        after = i + 1 < len(parts) and parts[i + 1].min_key <= s.max_key
+        reach = s.max_key if reach is None else max(reach, s.max_key)
+        if s.path not in names:
+            (mixed if before or after else alone).append(s)
+    return alone, mixed
+
+
+def _cut(shared, limit: int | None, id_type):
+    def run(batches):
+        import bisect
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, [("key", "ascending")]))
+            keys = batch.column("key").to_pylist()
+            if not keys:
+                continue
+            asked = shared.value
+            last = bisect.bisect_right(asked, keys[-1], key=lambda r: r[0])
+            at, ids = [], []
+            for low, high, name in asked[:last]:
+                a, b = bisect.bisect_left(keys, low), bisect.bisect_right(keys, high)
+                b = b if limit is None else min(b, a + limit)
+                at.extend(range(a, b))
+                ids.extend([name] * (b - a))
+            if at:
+                got = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), got.column("key"), got.column("value")], ["range_id", "key", "value"])
+
+    return run
+
+
 def _plain(path: str) -> str:
     """A path without scheme and host, as different writers give it."""
     path = path.split("://", 1)[-1] if "://" in path else path.removeprefix("file:")
