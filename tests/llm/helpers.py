@@ -23,7 +23,7 @@ def lower_words(text, pattern):
 
 def awkward_texts(seed=1):
     rng = random.Random(seed)
-    vocabulary = [f"w{i}" for i in range(60)] + ["É", "été", "Straße", "MIT", "license", "x" * 40]
+    vocabulary = [f"w{i}" for i in range(60)] + ["É", "été", "Straße", "\u0130", "\u212a", "M\u0130T", "MIT", "license", "x" * 40]
     base = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(12)]
     out = [None, "", "   \t\n", "one", "One", "one two three", "a b c d", "A B\tC D"]
     for t in base:
