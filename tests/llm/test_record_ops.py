@@ -201,3 +201,24 @@ def test_pipeline(spark, tmp_path):
     assert kept[1] - kept[2] == {202}
     assert step.columns == [*H.DOCS.names, "size", "source_size", "target", "taken"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == kept[3]
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage; so does an empty table."""
+    import corpus_pipeline
+
+    docs = H.documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, 0, None), (5, 1, 1), (5, 1, 0), *((i, 1, 0) for i in range(6, 20))], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (None, "one two three"), (2, "")], "item_id long, text string")
+    sf = H.write_tables(spark, tmp_path, docs, labels=labels, benchmark=bench)
+    for start in (spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/documents.parquet").where("false")):
+        step, empty = start, start.isEmpty()
+        for name, stage in corpus_pipeline.STAGES:
+            columns = [c for c in step.columns if name != "mixing" or c not in ("size", "source_size", "target", "taken")]
+            step = stage(spark, step, sf)
+            assert step.columns[: len(columns)] == columns
+            n = step.count()
+            assert (n == 0) == empty
+        if not empty:
+            texts = [r.text for r in step.collect()]
+            assert "one two three" not in texts and "🙂 emoji 🙂 text" in texts

@@ -2,8 +2,8 @@
 
 Words are runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased. A document's features are
 the distinct buckets of its words, word pairs and pairs one word apart, so a text that repeats a phrase
-counts it once and a long text isn't diluted. Pairs pay twice the L1 of words, and positive rows count three times, as
-they are few. Per-coordinate rates and L1 leave a few hundred weights,
+counts it once and a long text isn't diluted. Pairs pay twice the L1 of words, and positive rows, where they are few, count up to
+`positive` times. Per-coordinate rates and L1 leave a few hundred weights,
 which are small enough to broadcast whatever the corpus.
 
 The classifier is fitted on at most `max_train` labelled rows, those whose hashed doc_id is smallest, and of
@@ -95,10 +95,10 @@ class Ftrl:
         z, p, l1 = self.z[at], self.p, self.l1[at]
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((p.beta + np.sqrt(self.n[at])) / p.alpha + p.l2))
 
-    def learn(self, buckets: np.ndarray, label: int) -> None:
+    def learn(self, buckets: np.ndarray, label: int, weight: float) -> None:
         at = np.append(buckets, self.bias)
         w = self.weights(at)
-        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (self.p.positive if label else 1.0)
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * weight
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.p.alpha * w
         self.n[at] = n + g * g
@@ -120,9 +120,11 @@ def _fit(p: FtrlParams):
                 if size <= p.max_features:
                     rows.append((np.frombuffer(feats, "<i4"), label))
         model, order = Ftrl(p), np.random.default_rng(1)
+        toxic = sum(label for _, label in rows)
+        weight = min(p.positive, max(1.0, (len(rows) - toxic) / max(1, toxic) / 2))  # never over half of all weight
         for _ in range(p.epochs):
             for i in order.permutation(len(rows)):
-                model.learn(rows[i][0].astype(np.int64), rows[i][1])
+                model.learn(rows[i][0].astype(np.int64), rows[i][1], weight if rows[i][1] else 1.0)
         at, w = model.sparse()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["bucket", "weight"])
 
