@@ -294,10 +294,12 @@ sets AS (
               WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
               ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
   FROM worded),
-single AS (SELECT uid, unnest(s) AS g FROM sets),
-shared AS (SELECT a.uid AS a, b.uid AS b, count(*) AS n FROM single a JOIN single b ON a.g = b.g AND a.uid <> b.uid GROUP BY ALL),
-links AS (
-  SELECT a, b FROM shared JOIN sets x ON x.uid = a JOIN sets y ON y.uid = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+single AS (SELECT uid, len(s) AS size, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.uid AS a, b.uid AS b, any_value(a.size) AS x, any_value(b.size) AS y, count(*) AS n
+  FROM single a JOIN single b ON a.g = b.g AND a.uid < b.uid AND 100 * a.size >= 80 * b.size AND 100 * b.size >= 80 * a.size GROUP BY a.uid, b.uid),
+half AS (SELECT a, b FROM shared WHERE 100 * n >= 80 * (x + y - n)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
 reach AS (SELECT uid AS start, uid AS node FROM sets UNION SELECT start, b FROM reach JOIN links ON a = node)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(t.doc_id) AS component_id, s.doc_id IS NOT DISTINCT FROM min(t.doc_id) AS kept
 FROM sets s JOIN reach r ON r.start = s.uid JOIN sets t ON t.uid = r.node
