@@ -10,7 +10,7 @@
 3. Each text is encoded once as a row of class numbers and written. Rare words' counts are looked up by a join on the
    word's hash, distinct words per document only; no table that grows with the corpus is broadcast.
 4. Baum-Welch: each task runs forward and backward over its documents, all documents of a batch in step, and returns one row
-   of expected counts; the driver adds them up (states * (states + classes) numbers, independent of the corpus). The first
+   of expected counts; sixteen tasks and then the driver add them up (states * (states + classes) numbers a row). The first
    iterations run on a bounded sample of `warm_docs` training documents (of least hashed id), the last `full_rounds`
    on all of them.
 5. Scores: the exact likelihood, by the forward recursion scaled at every token, of whole texts.
@@ -252,13 +252,27 @@ def _expect(shared, most: int = 1 << 20):
     return run
 
 
+COUNTS = "likelihood double, start binary, move binary, emit binary"
+
+
+def _add(batches):
+    """Adds rows of expected counts as they stream by: one row a task."""
+    sums = None
+    for batch in batches:
+        for raw in zip(*(batch.column(c).to_pylist() for c in ("likelihood", "start", "move", "emit")), strict=True):
+            got = [np.array([raw[0]]), *(np.frombuffer(x) for x in raw[1:])]
+            sums = [g.copy() for g in got] if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
+    if sums is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(sums[0]), *(pa.array([x.tobytes()], pa.binary()) for x in sums[1:])], ["likelihood", "start", "move", "emit"])
+
+
 def em_round(encoded: DataFrame, model: Hmm, totals: np.ndarray, p: HmmParams) -> tuple[Hmm, float]:
-    """One Baum-Welch round: partitions return expected counts, which are added as they arrive."""
+    """One Baum-Welch round: partitions' expected counts are added in 16 tasks, whose sums the driver adds: as much for any corpus."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)  # states * (states + classes) numbers
-    rows = encoded.select("classes").mapInArrow(_expect(shared), "likelihood double, start binary, move binary, emit binary")
+    rows = encoded.select("classes").mapInArrow(_expect(shared), COUNTS).repartition(16).mapInArrow(_add, COUNTS)
     k, c = p.states, p.classes
     sums, likelihood = [np.zeros(k), np.zeros((k, k)), np.zeros((c, k))], 0.0
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         likelihood += r.likelihood
         for s, raw in zip(sums, (r.start, r.move, r.emit), strict=True):
             s += np.frombuffer(raw).reshape(s.shape)
