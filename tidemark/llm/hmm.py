@@ -299,15 +299,23 @@ def score_texts(docs: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
     counts = written(counts, "counts")
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     denominator = total + 0.5 * (types + 1)
-    # words seen once stay out: they tell what unseen words are like
-    frequent = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(p.dictionary).collect()  # a fixed number of rows
+    # The dictionary is all words from a count on, the least count (on a scale of 1,024 steps) that leaves `dictionary` words at most.
+    # Words seen once stay out: they tell what unseen words are like.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # at most 1,024 rows
+    held, lowest = 0, 1 << 20
+    for r in steps:
+        held += r.words
+        if held > p.dictionary:
+            break
+        lowest = r.step
+    often = (F.col("n") > 1) & (step >= lowest)
+    frequent = sorted(counts.where(often).collect(), key=lambda r: (-r.n, r.word))  # at most `dictionary` rows
     d = Dictionary(frequent, p)
-    least = frequent[-1] if len(frequent) == p.dictionary else None
     # tokens of each class, and word types of the rare ones
     share = np.zeros(p.classes)
     np.add.at(share, d.classes.astype(np.int64), d.counts)
-    beyond = (F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("word") > least.word)) if least else F.lit(False)
-    rare = counts.where((F.col("n") <= 1) | beyond)
+    rare = counts.where(~often)
     kinds = np.zeros(p.endings)
     for r in rare.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # a row per ending
         share[p.own + p.endings + r.ending], kinds[r.ending] = r.n, r.types
