@@ -142,7 +142,9 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     codes = book.encode(u)
     packed = np.ascontiguousarray(book.pack(codes).T)
     # a product can't exceed the scanned one by more than the query's length times what the code leaves of the vector
-    left = np.linalg.norm(u - book.decode(codes), axis=1) + 1e-5 * np.linalg.norm(u, axis=1)
+    length = np.linalg.norm(u, axis=1)
+    left = np.linalg.norm(u - book.decode(codes), axis=1) + 1e-5 * length
+    slack = 1e-9 * length.max(initial=0.0)
     out_q, out_v, out_s = [], [], []
     for i in range(0, len(q), 64):
         part = q[i : i + 64]
@@ -158,6 +160,9 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
                 first_exact = _products(u[rank], part[j])
                 least = np.partition(first_exact, keep - p.k - 1)[keep - p.k - 1] if keep > p.k else -np.inf
                 rank = np.flatnonzero(approx[j] + np.linalg.norm(part[j]) * left >= least)
+                # a plain product tells which of them can count; only these are multiplied in order
+                near = u[rank] @ part[j]
+                rank = rank[near >= np.partition(near, len(near) - p.k - 1)[len(near) - p.k - 1] - slack * np.linalg.norm(part[j])] if len(near) > p.k else rank
             exact = _products(u[rank], part[j])
             good = rank[np.argsort(-exact, kind="stable")]
             score = -np.sort(-exact, kind="stable")
