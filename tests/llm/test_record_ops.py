@@ -141,6 +141,22 @@ def test_ann_awkward_rows(spark):
     assert ann.nearest(none, none).count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 3, 30, 300])
+def test_ann_repeated_query_rows(spark, times):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8)).astype(np.float32)
+    x[0] *= 5  # the query's own vector ranks first
+    x[50] = x[0]  # and another id has it too
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    rows += [rows[0]] * (times - 1) + [(0, [float(a) for a in x[0] * (2 + i)]) for i in range(times)]  # its id on other vectors as well
+    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    ask = v.where("vec_id = 0").where(F.col("v") == F.array(*[F.lit(float(a)) for a in x[0]]))
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for p in (ann.AnnParams(), ann.AnnParams(keep=32), ann.AnnParams(keep=32, shard=100)):
+        got = sorted((r["rank"], r.vec_id) for r in ann.nearest(v, ask, p).collect())
+        assert [i for _, i in got] == ann.brute_force(ids, y, ids[:1], y[:1], 20)[0] and got[0][1] == 50
+
+
 def test_codes_weigh_parallel_error():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 16))

@@ -9,11 +9,11 @@ every row is indexed.
 Search: rows are dealt into shards of about `shard` rows by hashed id and queries into blocks of `block`; each (shard, block)
 pair is one task, so neither side is ever gathered whole, and only blocks of the stated query set are repeated. In
 a task equal vectors are scanned once, two codes make one byte and two pieces' tables one of 256 sums, so a candidate
-costs a look-up a byte. The `keep` best of each query are reranked by exact double-precision products; their (k+1)-th best
+costs a look-up a byte. The `keep` best of each query are reranked by exact double-precision products; their k-th best
 is a floor, and every vector whose scanned product could still reach it, by the length of what its code leaves of it, is
 reranked too: codes that don't tell the members of a dense cluster apart cost time and not recall. The k best, ties to
 smaller ids, leave the task. Equal vectors share a product, so the k smallest ids of each are all that can count:
-this is the exact way for buckets of any size.
+this is the exact way for buckets of any size. All these cuts are taken without the rows that bear the query's own id.
 
 Edges: null, empty, zero vectors and vectors that hold null or non-finite components take no part. Neither do rows with a null
 id, nor vectors whose number of dimensions isn't the commonest one (of equally common ones the smallest).
@@ -139,6 +139,7 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     u = x[first]
     group = np.argsort(same, kind="stable")  # rows by distinct vector, ids ascending within
     begin = np.searchsorted(same[group], np.arange(len(first) + 1))
+    count, own = np.diff(begin), np.zeros(len(first), np.int64)
     codes = book.encode(u)
     packed = np.ascontiguousarray(book.pack(codes).T)
     # a product can't exceed the scanned one by more than the query's length times what the code leaves of the vector
@@ -152,24 +153,36 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         approx = np.zeros((len(part), len(u)), np.float32)
         for b in range(packed.shape[0]):
             approx += tables[:, b].take(packed[b], axis=1)
+        # rows with the query's own id don't count: vectors that have no others are out before anything is cut
+        mine = [np.unique(same[a:b], return_counts=True) for a, b in zip(np.searchsorted(ids, query_ids[i : i + 64]), np.searchsorted(ids, query_ids[i : i + 64], side="right"), strict=True)]
+        out = [vector[times == count[vector]] for vector, times in mine]
+        for j, gone in enumerate(out):
+            approx[j, gone] = -np.inf
         keep = min(p.keep, len(u))
         best = np.argpartition(-approx, keep - 1, axis=1)[:, :keep] if keep < len(u) else np.tile(np.arange(len(u)), (len(part), 1))
         for j in range(len(part)):
-            rank = best[j]
+            rank = best[j][~np.isin(best[j], out[j])]
             if keep < len(u):
                 first_exact = _products(u[rank], part[j])
-                least = np.partition(first_exact, keep - p.k - 1)[keep - p.k - 1] if keep > p.k else -np.inf
+                least = np.partition(first_exact, len(rank) - p.k)[len(rank) - p.k] if len(rank) >= p.k else -np.inf
                 rank = np.flatnonzero(approx[j] + np.linalg.norm(part[j]) * left >= least)
+                rank = rank[~np.isin(rank, out[j])]
                 # a plain product tells which of them can count; only these are multiplied in order
                 near = u[rank] @ part[j]
-                rank = rank[near >= np.partition(near, len(near) - p.k - 1)[len(near) - p.k - 1] - slack * np.linalg.norm(part[j])] if len(near) > p.k else rank
+                rank = rank[near >= np.partition(near, len(near) - p.k)[len(near) - p.k] - slack * np.linalg.norm(part[j])] if len(near) > p.k else rank
+            if not len(rank):
+                continue
             exact = _products(u[rank], part[j])
             good = rank[np.argsort(-exact, kind="stable")]
             score = -np.sort(-exact, kind="stable")
-            # enough distinct vectors for k rows; each gives its k + 1 smallest ids at most, one may be the query's own
-            size = np.minimum(begin[good + 1] - begin[good], p.k + 1)
-            enough = np.searchsorted(np.cumsum(size), p.k + 1) + 1
+            # enough distinct vectors for k rows; each gives its k smallest ids at most, besides the query's own
+            vector, times = mine[j]
+            own[vector] = times
+            size = np.minimum(count[good] - own[good], p.k)
+            enough = np.searchsorted(np.cumsum(size), p.k) + 1
             enough = np.searchsorted(-score, -score[min(enough, len(score)) - 1], side="right")  # with all that tie with the last
+            size += own[good]
+            own[vector] = 0
             rows = np.concatenate([group[begin[g] : begin[g] + s] for g, s in zip(good[:enough], size[:enough], strict=True)])
             scores = np.repeat(score[:enough], size[:enough])
             fit = ids[rows] != query_ids[i + j]
