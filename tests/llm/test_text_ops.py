@@ -321,6 +321,14 @@ def test_lm_scores(docs, dictionary):
     assert all(r.train_tokens == n and math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_hmm_trains_on_all_documents_in_every_round(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(hmm, "em_round", lambda encoded, model, totals, p: (seen.append(encoded.count()), (model, 0.0))[1])
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b w"), F.col("id") % 7).alias("text"), (F.col("id") % 5 == 1).cast("int").alias("role"))
+    assert hmm.score_texts(docs.union(docs.select(F.col("doc_id") + 2500, "text", "role"))).count() == 5000
+    assert seen == [4000] * 14
+
+
 def test_lm_probabilities_add_up(spark):
     """One-word texts: the chance of each known word and of unseen words of each ending, then the end, sums to that of two tokens."""
     train = [(i, t) for i, t in enumerate(["aa bb cc aa", "bb aa dd", "ee aa ff gg", "aa"] * 2) if H.crc5(i) != 1]

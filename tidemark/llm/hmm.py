@@ -10,9 +10,9 @@
 3. Each text is encoded once as a row of class numbers and written. Rare words' counts are looked up by a join on the
    word's hash, distinct words per document only; no table that grows with the corpus is broadcast.
 4. Baum-Welch: each task runs forward and backward over its documents, all documents of a batch in step, and returns one row
-   of expected counts; sixteen tasks and then the driver add them up (states * (states + classes) numbers a row). The first
-   iterations run on a bounded sample of `warm_docs` training documents (of least hashed id), the last `full_rounds`
-   on all of them.
+   of expected counts; sixteen tasks and then the driver add them up (states * (states + classes) numbers a row). Every
+   iteration runs on all training documents, and there are as many for any corpus (`warm_rounds` + `full_rounds`). Only a caller
+   who sets `warm_docs` has the first `warm_rounds` see that many documents (of least hashed id) alone.
 5. Scores: the exact likelihood, by the forward recursion scaled at every token, of whole texts.
 
 Edges: null and empty texts are one end token. Texts of any length are scored whole. Repeated rows count each. If no row may be
@@ -40,7 +40,7 @@ class HmmParams:
     dictionary: int = 200_000
     own: int = 2048
     endings: int = 64
-    warm_docs: int = 2000
+    warm_docs: int | None = None
     warm_rounds: int = 12
     full_rounds: int = 2
     smoothing: float = 0.1
@@ -178,48 +178,48 @@ def _in_step(sequences: list[np.ndarray]):
 
 
 def forward(model: Hmm, sequences: list[np.ndarray], keep: bool = False):
-    """log10 likelihood of each sequence; with keep also the scaled forward rows and scales, step by step."""
+    """log10 likelihood of each sequence; with keep also the scaled forward columns (state by token) and scales, step by step."""
     order, running, begin, symbols, row, step = _in_step(sequences)
     k = len(model.start)
-    emitted = model.emit[symbols]
+    emitted = np.take(np.ascontiguousarray(model.emit.T), symbols, axis=1)
     scale = np.empty(len(symbols))
-    rows = emitted  # overwritten in place by the forward rows
-    alpha = None
+    columns = emitted  # overwritten in place by the forward columns
+    alpha, come = None, np.ascontiguousarray(model.move.T)
     for t, n in enumerate(running.tolist()):
         at = slice(begin[t], begin[t + 1])
-        now = emitted[at] * (model.start if t == 0 else alpha[:n] @ model.move)
-        s = now @ np.ones(k)
-        now /= s[:, None]
+        now = emitted[:, at] * (model.start[:, None] if t == 0 else come @ alpha[:, :n])
+        s = np.ones(k) @ now
+        now /= s
         scale[at] = s
         if keep:
-            rows[at] = now
+            columns[:, at] = now
         alpha = now
     total = np.zeros(len(sequences))
     total[order] = np.bincount(row, np.log10(scale)[begin[step] + row], minlength=len(sequences)) if len(symbols) else 0.0
-    return (total, rows, scale, (running, begin, symbols)) if keep else total
+    return (total, columns, scale, (running, begin, symbols)) if keep else total
 
 
 def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch's E step: (log10 likelihood, start, move, emit) summed over the sequences."""
     total, alpha, scale, (running, begin, symbols) = forward(model, sequences, keep=True)
     k = len(model.start)
-    move, beta = np.zeros((k, k)), None
+    move, beta, emitted = np.zeros((k, k)), None, np.ascontiguousarray(model.emit.T)
     gamma = alpha  # overwritten from the last step to the first
     for t in range(len(running) - 1, -1, -1):
         at = slice(begin[t], begin[t + 1])
-        a = alpha[at].copy()
-        b = np.ones((running[t], k))
+        b = np.ones((k, running[t]))
         if beta is not None:
-            m = len(beta)
-            b[:m] = beta @ model.move.T
-            move += a[:m].T @ beta
-        g = a * b
-        gamma[at] = g
+            m = beta.shape[1]
+            b[:, :m] = model.move @ beta
+            move += alpha[:, begin[t] : begin[t] + m] @ beta.T
+        gamma[:, at] *= b
         # what the step before needs: emission times backward, over the scale
-        beta = model.emit[symbols[at]] * b / scale[at][:, None]
+        beta = np.take(emitted, symbols[at], axis=1)
+        beta *= b
+        beta /= scale[at]
     move *= model.move
-    start = gamma[begin[0] : begin[1]].sum(axis=0) if len(running) else np.zeros(k)
-    emit = np.stack([np.bincount(symbols, gamma[:, j], minlength=model.emit.shape[0]) for j in range(k)], axis=1)
+    start = gamma[:, begin[0] : begin[1]].sum(axis=1) if len(running) else np.zeros(k)
+    emit = np.stack([np.bincount(symbols, gamma[j], minlength=model.emit.shape[0]) for j in range(k)], axis=1)
     return float(total.sum()), start, move, emit
 
 
@@ -331,13 +331,13 @@ def score_texts(docs: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
     learn = encoded.where("role = 0")
     totals = share.copy()
     model = Hmm.random(totals, p)
-    picked = learn.select("place").orderBy("place").limit(p.warm_docs).agg(F.max("place")).first()[0]
-    if picked is not None:
-        warm = written(learn.where(F.col("place") <= picked).select("classes").repartition(8), "warm")
-        for _ in range(p.warm_rounds):
-            model, _ = em_round(warm, model, totals, p)
-        for _ in range(p.full_rounds):
-            model, _ = em_round(learn, model, totals, p)
+    first = learn
+    if p.warm_docs is not None:
+        picked = learn.select("place").orderBy("place").limit(p.warm_docs).agg(F.max("place")).first()[0]
+        first = written(learn.where(F.col("place") <= picked).select("classes").repartition(8), "warm")
+    if not learn.isEmpty():
+        for r in range(p.warm_rounds + p.full_rounds):
+            model, _ = em_round(first if r < p.warm_rounds else learn, model, totals, p)
     # rare words: counts by a join on the word, summed by document
     looked = encoded.select("uid", F.explode(F.arrays_zip("rare", "times", "endings")).alias("r")).select("uid", "r.rare", "r.times", "r.endings")
     looked = looked.join(counts.select(F.col("word").alias("rare"), "n"), "rare", "left")
