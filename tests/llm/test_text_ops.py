@@ -242,6 +242,21 @@ def test_license_rules_match_python(spark):
         assert set(r.labels.split(",")) == want
 
 
+def test_license_rules_without_the_gate(spark):
+    """Every rule's pattern counts, whatever other words the text holds; holders' names may be of any length."""
+    import re
+
+    clause = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products."
+    texts = [clause.format("the holder"), clause.format("holder " * 40), "CC Zero 1.0", "Creative Commons Zero v1.0 universal", "CC0 1.0", "MIT License"]
+    want = ["bsd-3-clause"] * 2 + ["cc0-1.0"] * 3
+    got = [r.labels.split(",") for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(w in g for w, g in zip(want, got))
+    for text, labels in zip(texts, got, strict=True):
+        n = " " + " ".join(H.lower_words(text, H.WORDS)) + " "
+        top = max((x.priority for x in licenses.rules() if x.priority < 9 and re.search(f"(?<= ){x.pattern}(?= )", n)), default=0)
+        assert {x.label for x in licenses.rules() if x.priority == top and re.search(f"(?<= ){x.pattern}(?= )", n)} & set(labels)
+
+
 def test_toxicity(spark, docs, tmp_path):
     rng = np.random.default_rng(3)
     rows = []

@@ -78,7 +78,7 @@ def _creative_commons() -> list[Rule]:
         out.append(Rule(label, 1, 0.8, "creative commons", rf"creative commons {title}"))
         out.append(Rule(label, 1, 0.7, "cc by", rf"cc {code}"))
     zero = r"(?:creative commons zero|cc0|cc zero)(?: v?1 0)?(?: universal)?"
-    return [*out, Rule("cc0-1.0", 2, 0.9, "cc0", zero), Rule("cc0-1.0", 2, 0.9, "creative commons", zero), Rule("cc", 1, 0.5, "creative commons", "creative commons")]
+    return [*out, Rule("cc0-1.0", 2, 0.9, "cc0", zero), Rule("cc0-1.0", 2, 0.9, "creative commons", zero), Rule("cc0-1.0", 2, 0.9, "cc zero", zero), Rule("cc", 1, 0.5, "creative commons", "creative commons")]
 
 
 def _permissive() -> list[Rule]:
@@ -110,7 +110,7 @@ def _permissive() -> list[Rule]:
     out += [Rule(f"bsd-{c}-clause", 2, 0.9, "bsd", rf"{k} bsd licen[sc]e") for k, c in kinds.items()]
     out += [
         Rule("bsd", 1, 0.7, "bsd", r"bsd (?:style )?licen[sc]e"),
-        Rule("bsd-3-clause", 3, 0.95, "redistribution", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+        Rule("bsd-3-clause", 3, 0.95, "nor the names", r"(?:neither the name of .{1,80}? )?nor the names of its contributors may be used to endorse or promote products"),
         Rule("bsd", 3, 0.9, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ]
     return out
