@@ -1,12 +1,14 @@
+import dataclasses
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import merge
 from tidemark.operators.compaction import Full, Leveled
-from tidemark.plans.store import Store
+from tidemark.plans.store import LostRows, Store
 from tidemark.sources.manifest import CommitConflict, MissingFile
 
 ROW = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("value", T.BinaryType())])
@@ -215,9 +217,76 @@ def test_merge_cases(spark):
     assert get(merge.merge_retain(log((5, 3, None), (2, 2, "V")), below)) == [(2, 2, "V")]
 
 
+@pytest.mark.parametrize("held", [0, 7])
+def test_cuts_reset_at_each_file(held):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 400):
+        sizes = rng.integers(1, 40, n)
+        want, file, size = [], 0, held
+        for x in sizes.tolist():
+            want.append(file)
+            size += x
+            if size >= 100:
+                file, size = file + 1, 0
+        got, number, left = merge.cuts(sizes, held, 100)
+        assert got.tolist() == want and (number, left) == (file, size)
+
+
 def test_splits(spark):
-    rows = spark.range(100).select(F.col("id").alias("key"), F.lit(25).cast("long").alias("size"))
-    exact = merge.exact_split(rows, "size", 250)
-    split = merge.level_split(rows, "size", 250)
-    assert exact.groupBy("file").count().count() == 10
-    assert sorted((r.key, r.file) for r in exact.collect()) == sorted((r.key, r.file) for r in split.collect())
+    rows = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") % 37 + 1).alias("size"), F.lit("x" * 50).alias("value"))
+    files, size = [[]], 0
+    for k in range(1000):
+        files[-1].append(k)
+        size += k % 37 + 1
+        if size >= 250:
+            files, size = [*files, []], 0
+    exact = {(r.key, r.file) for r in merge.exact_split(rows.repartition(5), "size", 250).collect()}
+    assert exact == {(k, i) for i, f in enumerate(files) for k in f}
+    split = merge.level_split(rows.repartition(5), "size", 250, ranges=3).collect()
+    assert sorted(r.key for r in split) == list(range(1000))
+    by = {}
+    for r in split:
+        by.setdefault((r.part, r.file), []).append(r)
+    spans = sorted((min(r.key for r in f), max(r.key for r in f), sum(r.size for r in f), part) for (part, _), f in by.items())
+    assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:]))
+    assert all(250 <= s[2] < 290 for s, after in zip(spans[:-1], spans[1:]) if s[3] == after[3])
+
+
+def test_no_row_is_lost_by_writes_of_many_files(spark, tmp_path):
+    """Default adaptive execution, many shuffle partitions, wide values: every key stays, files are disjoint and near their size."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        n = 200_000
+        rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("key"), F.rpad(F.col("id").cast("string"), 128, "x").cast("binary").alias("value"))
+        store = Store(spark, f"file://{tmp_path}/big", T.LongType(), selector=Leveled(level0=1, base=1 << 30), file_bytes=500_000, tail_bytes=1 << 40)
+        store.put_batch(rows)
+        for step in (store.flush, store.compact_all, store.settle):
+            v = step()
+            assert sum(s.entries for s in v.segments) == n and store.scan().count() == n
+            spans = sorted((s.min_key, s.max_key) for s in v.segments)
+            assert len(spans) > 40 and all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:]))
+            assert all(s.bytes <= 500_000 + 300 for s in v.segments) and sum(s.bytes >= 500_000 for s in v.segments) >= 0.7 * len(spans)
+        assert store.snapshot().log().select("key").distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_write_that_loses_rows_is_not_committed(spark, store, monkeypatch):
+    store.put_batch(puts(spark, [(i, "x") for i in range(10)]))
+    told = store._described
+    monkeypatch.setattr(store, "_described", lambda *a, **b: [dataclasses.replace(s, entries=s.entries - 1) for s in told(*a, **b)])
+    with pytest.raises(LostRows):
+        store.flush()
+    monkeypatch.undo()
+    assert len(state(store.scan())) == 10 and not store.manifest.load().segments
+    assert store.manifest.files.names(f"{store.path}/data") == []
+
+
+def test_batch_numbers_are_bounded(spark, store):
+    for i in range(3):
+        store.put_batch(puts(spark, [(i, "a")]), batch_id=f"s-{i}")
+        store.put_batch(puts(spark, [(i, "z")]), batch_id=f"s-{i}")
+    store.put_batch(puts(spark, [(9, "late")]), batch_id="s-1")
+    assert store.manifest.load().batches == {"s": 2}
+    assert state(store.scan()) == [(0, "a"), (1, "a"), (2, "a")]

@@ -6,9 +6,11 @@ versions costs no more than any other. Tombstones are dropped after the merge, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+
 
 def latest(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """One row per key: its version of greatest seq, tombstones included."""
@@ -65,19 +67,12 @@ def ceiling_key(keys: DataFrame, probes: DataFrame, key: str = "key", probe: str
 
 
 def _neighbour(keys: DataFrame, probes: DataFrame, key: str, probe: str, down: bool) -> DataFrame:
-    """Range partitions of both sides together; the nearest key beyond a partition comes from the partitions' extremes."""
-    k = keys.select(F.col(key).alias("x"), F.lit(0).alias("is_probe")).distinct()
-    both = k.unionByName(probes.select(F.col(probe).alias("x"), F.lit(1).alias("is_probe")))
-    cuts = both.repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    # the partitions' extremes: one row per partition
-    edge = cuts.where("is_probe = 0").groupBy("part").agg((F.max if down else F.min)("x").alias("edge"))
-    order = [F.col("x"), F.col("is_probe")] if down else [F.col("x").desc(), F.col("is_probe")]
-    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = cuts.withColumn("found", F.last(F.when(F.col("is_probe") == 0, F.col("x")), ignorenulls=True).over(w)).where("is_probe = 1")
-    e = edge.toDF("other", "edge")
-    beyond = edge.select("part").union(inside.select("part")).distinct().join(e, (F.col("other") < F.col("part")) if down else (F.col("other") > F.col("part")), "left")
-    beyond = beyond.groupBy("part").agg((F.max if down else F.min)("edge").alias("beyond"))
-    return inside.join(beyond, "part", "left").select(F.col("x").alias(probe), F.coalesce("found", "beyond").alias("found"))
+    """The greatest key up to each probe, or the least from it on: a running maximum or minimum over keys and probes in one order."""
+    k = keys.select(F.col(key).alias("x"), F.lit(0 if down else 1).alias("side"), F.col(key).alias("key")).distinct()
+    p = probes.select(F.col(probe).cast(k.schema["x"].dataType).alias("x"), F.lit(1 if down else 0).alias("side"), F.lit(None).cast(k.schema["key"].dataType).alias("key"))
+    asked = 1 if down else 0
+    run = running(k.unionByName(p), ["x", "side"], F.col("key"), F.max if down else F.min, "found", back=not down)
+    return run.where(F.col("side") == asked).select(F.col("x").alias(probe), "found")
 
 
 def version_diff(log: DataFrame, before: int, after: int, key: str = "key", seq: str = "seq", tombstone: str = "tombstone", value: str = "value") -> DataFrame:

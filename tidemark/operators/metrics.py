@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.operators.latest import live
+from tidemark.operators.running import holding
 from tidemark.sources.manifest import Version
 
 
 def read_amplification(segments: DataFrame, probes: DataFrame, probe: str = "key") -> DataFrame:
-    """(probe, consulted): how many segments' key ranges hold each probed key. segments: (min_key, max_key), a manifest's rows."""
-    near = probes.join(F.broadcast(segments.select("min_key", "max_key")), F.col(probe).between(F.col("min_key"), F.col("max_key")), "left")  # a manifest, thousands of rows
-    return near.groupBy(probe).agg(F.count("min_key").alias("consulted"))
+    """(probe, consulted): how many segments' key ranges hold each probed key. segments: (min_key, max_key), a manifest's rows.
+
+    Bounds and probes are sorted together and ranges counted as they open and close: no range join, however many segments there are.
+    """
+    return holding(segments, probes, "min_key", "max_key", probe).withColumnRenamed("n", "consulted")
 
 
 def write_amplification(v: Version) -> float:

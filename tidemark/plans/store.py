@@ -9,12 +9,13 @@ merge what is left by greatest seq.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import threading
 import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -28,6 +29,14 @@ from tidemark.session import ship
 from tidemark.sources.manifest import CommitConflict, Manifest, Segment, Version
 
 
+#: Files a key range of a write is meant to hold: one file a range falls short of the target.
+FILES_A_RANGE = 4
+
+
+class LostRows(Exception):
+    """A write holds fewer or more rows than went into it; nothing was committed."""
+
+
 class Snapshot:
     """One manifest version; holds a pin until closed, which vacuum() respects."""
 
@@ -85,7 +94,9 @@ class Snapshot:
         found, block = None, []
 
         def of(block: list) -> DataFrame:
-            shared = self.store.spark.sparkContext.broadcast(sorted(((r.low, r.high, r.range_id) for r in block), key=lambda r: r[0]))
+            asked = sorted(((r.low, r.high, r.range_id) for r in block), key=lambda r: r[0])
+            reach = list(itertools.accumulate((r[1] for r in asked), max))  # the greatest high up to each range
+            shared = self.store.spark.sparkContext.broadcast((asked, reach))
             return rows.mapInArrow(_cut(shared, limit, to_arrow_type(ranges.schema["range_id"].dataType)), schema)
 
         for r in asked.toLocalIterator():
@@ -172,7 +183,11 @@ class Store:
     # writes
 
     def put_batch(self, rows: DataFrame, batch_id: str | None = None) -> Version:
-        """rows: (key, value[, order]); later rows win by `order`, or as they come. A batch_id that was committed before is ignored."""
+        """rows: (key, value[, order]); later rows win by `order`, or as they come.
+
+        batch_id, "stream-number": numbers of a stream rise, and a batch whose number isn't above the stream's last is ignored as a replay;
+        the manifest keeps one number a stream. An id without a number is a stream of one batch.
+        """
         return self._append(rows.select("key", F.lit(False).alias("tombstone"), "value", *(["order"] if "order" in rows.columns else [])), batch_id)
 
     def delete_batch(self, keys: DataFrame, batch_id: str | None = None) -> Version:
@@ -184,8 +199,9 @@ class Store:
 
     def _append(self, rows: DataFrame, batch_id: str | None) -> Version:
         now = self.manifest.load()
-        if batch_id is not None and batch_id in now.batches:
+        if _replayed(now, batch_id):
             return now
+        stream, number = _stream(batch_id)
         rows = checked(rows.withColumn("key", F.col("key").cast(self.key_type)).withColumn("value", F.col("value").cast("binary")))
         if "order" in rows.columns:
             rows = rows.repartitionByRange("order").sortWithinPartitions("order")
@@ -206,17 +222,18 @@ class Store:
         path = f"{self.path}/tail/{uuid.uuid4().hex}"
 
         def change(v: Version) -> Version:
-            if batch_id is not None and batch_id in v.batches:
+            if _replayed(v, batch_id):
                 raise CommitConflict("the batch is there already")
             return dataclasses.replace(
                 v, tail=(*v.tail, dataclasses.replace(part, max_seq=base + total)), last_seq=base + total, put_bytes=v.put_bytes + part.bytes,
-                written_bytes=v.written_bytes + part.bytes, batches=v.batches | ({batch_id: base + total} if batch_id is not None else {}),
+                written_bytes=v.written_bytes + 2 * part.bytes,  # once as the staged batch, once numbered
+                batches=v.batches | ({stream: number} if batch_id is not None else {}),
             )
 
         while True:
             # the sequence numbers rest on the last version's; another writer's commit means numbering anew
             now = self.manifest.load()
-            if batch_id is not None and batch_id in now.batches:
+            if _replayed(now, batch_id):
                 self.manifest.files.delete(stage)
                 return now
             base = now.last_seq
@@ -248,21 +265,29 @@ class Store:
         )
         return [Segment(r.file, level, r.n, r.t, r.lo, r.hi, r.s, r.b + codec.FILE_HEAD) for r in told.orderBy("lo").collect()]  # a row per file
 
-    def _write_segments(self, rows: DataFrame, level: int) -> list[Segment]:
-        """Key-ordered Parquet files of about file_bytes, each a segment, and their bloom filters."""
+    def _write_segments(self, rows: DataFrame, level: int, inputs: Iterable[Segment]) -> list[Segment]:
+        """Key-ordered Parquet files of about file_bytes, each a segment, and their bloom filters; LostRows unless every row is there.
+
+        inputs: the parts that rows come from; their bytes tell how many key ranges, of a few files each, the work is dealt into.
+        """
         path = f"{self.path}/data/{uuid.uuid4().hex}"
         size = codec.record_size(F.col("key"), self.key_type, F.col("tombstone"), F.coalesce(F.octet_length("value"), F.lit(0)))
-        cut = level_split(rows.withColumn("__size", size), "__size", self.file_bytes).drop("__size")
-        cut.repartitionByRange("file").sortWithinPartitions("file", "key").select(*self.schema.names, "file").write.partitionBy("file").parquet(path)
+        ranges = max(1, -(-sum(s.bytes for s in inputs) // (FILES_A_RANGE * self.file_bytes)))
+        seen = Observation()
+        cut = level_split(rows.withColumn("__size", size), "__size", self.file_bytes, ranges=ranges, seen=seen).drop("__size")
+        cut.sortWithinPartitions("part", "file", "key").write.partitionBy("part", "file").parquet(path)
         segments = self._described(path, level, by_file=True)
+        if sum(s.entries for s in segments) != seen.get.get("n", 0):
+            self.manifest.files.delete(path)
+            raise LostRows(f"{seen.get.get('n', 0)} rows were to be written, {sum(s.entries for s in segments)} are there")
         if not segments:
             self.manifest.files.delete(path)
             return []
-        shape = bloom.Shape.of(max(s.entries for s in segments), self.bloom_rate)
+        most = max(s.entries for s in segments)
         filters = f"{path}-bloom"
         stored = self.spark.read.schema(self.schema).parquet(path).withColumn("file", F.input_file_name())
-        bloom.build_filters(stored, "file", codec.encode(F.col("key"), self.key_type), shape).write.parquet(filters)
-        return [dataclasses.replace(s, bloom=filters, bloom_keys=max(x.entries for x in segments)) for s in segments]
+        bloom.build_filters(stored, "file", codec.encode(F.col("key"), self.key_type), bloom.Shape.of(most, self.bloom_rate)).write.parquet(filters)
+        return [dataclasses.replace(s, bloom=filters, bloom_keys=most) for s in segments]
 
     def _may_contain(self, s: Segment, key) -> bool:
         if not s.bloom:
@@ -279,7 +304,7 @@ class Store:
         if not now.tail:
             return now
         rows = self.spark.read.schema(self.schema).parquet(*[s.path for s in now.tail])
-        new = self._write_segments(reads.latest(rows), 0)
+        new = self._write_segments(reads.latest(rows), 0, now.tail)
         done = self._install(now.tail, new, "tail")
         if self.background:
             self.compact_async()
@@ -301,7 +326,7 @@ class Store:
         try:
             return self.manifest.commit(change)
         except CommitConflict:
-            for p in {s.path.rsplit("/", 1)[0] for s in new} | {s.bloom for s in new if s.bloom}:
+            for p in {s.bloom.removesuffix("-bloom") for s in new} | {s.bloom for s in new}:
                 self.manifest.files.delete(p)
             raise
 
@@ -327,7 +352,7 @@ class Store:
             rows = rows.where("not tombstone").unionByName(held)
         else:
             rows = rows.where("not tombstone")
-        new = self._write_segments(rows, target)
+        new = self._write_segments(rows, target, picked)
         pointers = {str(k): v for k, v in self.selector.moved(picked).items()} if leveled and selected is None else None
         done = self._install(picked, new, "segments", pointers)
         if pointers is not None:
@@ -394,6 +419,16 @@ class Store:
         return deleted
 
 
+def _stream(batch_id: str | None) -> tuple[str, int]:
+    name, _, number = (batch_id or "").rpartition("-")
+    return (name, int(number)) if number.isdigit() else (batch_id or "", 0)
+
+
+def _replayed(v: Version, batch_id: str | None) -> bool:
+    stream, number = _stream(batch_id)
+    return batch_id is not None and v.batches.get(stream, -1) >= number
+
+
 def _apart(segments: list[Segment], tail: list[Segment]) -> tuple[list[Segment], list[Segment]]:
     """(segments whose key range no other part touches, all other parts)."""
     parts = sorted((s for s in (*segments, *tail)), key=lambda s: s.min_key)
@@ -420,10 +455,13 @@ def _cut(shared, limit: int | None, id_type):
             keys = batch.column("key").to_pylist()
             if not keys:
                 continue
-            asked = shared.value
-            last = bisect.bisect_right(asked, keys[-1], key=lambda r: r[0])
+            asked, reach = shared.value
+            # ranges that end before the batch begins, or begin after it ends, aren't looked at
+            first, last = bisect.bisect_left(reach, keys[0]), bisect.bisect_right(asked, keys[-1], key=lambda r: r[0])
             at, ids = [], []
-            for low, high, name in asked[:last]:
+            for low, high, name in asked[first:last]:
+                if high < keys[0]:
+                    continue
                 a, b = bisect.bisect_left(keys, low), bisect.bisect_right(keys, high)
                 b = b if limit is None else min(b, a + limit)
                 at.extend(range(a, b))

@@ -1,12 +1,13 @@
-"""What every part needs of a session: the package on the executors."""
+"""What every part needs of a session: the package on the executors, the shared folder, tables written to it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +22,31 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent).as_posix())
     sc.addPyFile(str(target))
     sc._tidemark_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
+
+    On one machine (a local master) a temporary folder is made and set where that is unset; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and rereads it: cuts lineage, survives lost executors,
+    and gives the planner the true size, by which it chooses between broadcast and shuffled joins."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
