@@ -64,3 +64,39 @@ def test_row_segments(spark, tmp_path, n, every, indexed):
     assert struct.unpack_from(">iii", bloom)[0] % 2 == 1
     (tmp_path / "dataFile-x").write_bytes(data)
     assert sstable.read_sstables(spark, str(tmp_path)).count() == n
+
+
+def test_a_log_is_cut_where_replay_stopped(spark, tmp_path):
+    log = wal.Log(spark, f"file://{tmp_path}/log")
+    log.append([(1, 1, b"hello"), (2, 2, b"world")])
+    log.append([(3, 3, None)])
+    log.append([(4, 4, b"x"), (5, 5, b"y")])
+    log.append([(6, 6, b"z")])
+    assert [r[0] for r in log.replay().records] == [1, 2, 3, 4, 5, 6] and log.replay().reason == wal.CLEAN
+    third = tmp_path / "log" / log.paths()[2].rsplit("/", 1)[1]
+    raw = bytearray(third.read_bytes())
+    raw[-1] ^= 1
+    third.write_bytes(bytes(raw))
+    (tmp_path / "log" / f".{third.name}.crc").unlink(missing_ok=True)
+    again = wal.Log(spark, f"file://{tmp_path}/log")
+    got = again.recover()
+    assert [r[0] for r in got.records] == [1, 2, 3, 4] and got.reason == wal.CHECKSUM
+    assert len(again.paths()) == 3 and again.replay().records == got.records and again.replay().reason == wal.CLEAN
+    again.append([(7, 7, b"after")])
+    assert [r[0] for r in again.replay().records] == [1, 2, 3, 4, 7]
+    again.append([(8, 2, b"older seq")])  # the tag stays the running maximum
+    assert again.replay().reason == wal.CLEAN and again.replay().tag == 7
+    again.reset()
+    assert again.replay().records == [] and wal.Log(spark, f"file://{tmp_path}/log").paths() == []
+
+
+def test_damaged_files_are_cut(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    raw = wal.frame([(1, 1, b"hello"), (2, 2, b"world"), (3, 3, None)])
+    for name, data in (("a", raw), ("b", raw[:100]), ("c", raw[:84] + b"\0" * 33), ("d", b"junk" * 10)):
+        (tmp_path / "logs" / name).write_bytes(data)
+    cut = wal.truncate_logs(spark, f"file://{tmp_path}/logs")
+    assert [p.rsplit("/", 1)[1] for p in cut] == ["b", "c", "d"]
+    assert [(tmp_path / "logs" / n).read_bytes() for n in "abcd"] == [raw, raw[:84], raw[:84], b""]
+    assert wal.truncate_logs(spark, f"file://{tmp_path}/logs") == []
+    assert wal.recovered(wal.read_wal(spark, f"file://{tmp_path}/logs")).count() == 7

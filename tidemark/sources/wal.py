@@ -9,6 +9,7 @@ task, so many small files spread well and one long file streams.
 from __future__ import annotations
 
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,9 +60,9 @@ def encode_key(key) -> bytes:
     return (key + (1 << 31)).to_bytes(4, "big")
 
 
-def frame(records: list[tuple[object, int, bytes | None]]) -> bytes:
-    """(key, seq, value or None) to the bytes of a log; tags are running maxima of seq."""
-    bodies, tag = [], None
+def frame(records: list[tuple[object, int, bytes | None]], tag: int | None = None) -> bytes:
+    """(key, seq, value or None) to the bytes of a log; tags are running maxima of seq, from `tag` on."""
+    bodies = []
     for key, seq, value in records:
         tag = seq if tag is None else max(tag, seq)
         payload = encode_key(key) + encode_value(seq, value)
@@ -71,9 +72,12 @@ def frame(records: list[tuple[object, int, bytes | None]]) -> bytes:
 
 @dataclass
 class Replay:
+    """The good records, why replay stopped and where, and the last good record's tag."""
+
     records: list[tuple[object, int, bytes | None]]
     reason: str
     offset: int
+    tag: int | None = None
 
 
 def _decode(payload: bytes, strings: bool) -> tuple[object, int, bytes | None]:
@@ -92,9 +96,9 @@ def _decode(payload: bytes, strings: bool) -> tuple[object, int, bytes | None]:
     return key, seq, payload[at + 13 : at + 13 + n]
 
 
-def replay(raw: bytes, strings: bool = False) -> Replay:
-    """Checks, for each record in turn: whole head, magic, tag, length, whole payload, checksum."""
-    at, last, spans, reason = 0, None, [], CLEAN
+def replay(raw: bytes, strings: bool = False, last: int | None = None) -> Replay:
+    """Checks, for each record in turn: whole head, magic, tag (not under `last`, the tag before it), length, whole payload, checksum."""
+    at, spans, reason = 0, [], CLEAN
     while at < len(raw):
         if at + HEAD.size > len(raw):
             reason = TRUNCATED
@@ -110,20 +114,20 @@ def replay(raw: bytes, strings: bool = False) -> Replay:
             reason = TRUNCATED
         if reason != CLEAN:
             break
-        spans.append((at, n, crc))
+        spans.append((at, n, crc, tag))
         last, at = tag, at + HEAD.size + n
     # heads tell where records end; the checksums of all of them follow at once
-    good = crc32c([raw[a + 8 : a + HEAD.size + n] for a, n, _ in spans]) == np.array([c for *_, c in spans], np.uint32) if spans else np.ones(0, bool)
+    good = crc32c([raw[a + 8 : a + HEAD.size + n] for a, n, *_ in spans]) == np.array([c for _, _, c, _ in spans], np.uint32) if spans else np.ones(0, bool)
     bad = np.flatnonzero(~good)
     if len(bad):
         at, reason, spans = spans[bad[0]][0], CHECKSUM, spans[: bad[0]]
-    return Replay([_decode(raw[a + HEAD.size : a + HEAD.size + n], strings) for a, n, _ in spans], reason, at)
+    return Replay([_decode(raw[a + HEAD.size : a + HEAD.size + n], strings) for a, n, *_ in spans], reason, at, spans[-1][3] if spans else None)
 
 
-def read_wal(spark: SparkSession, path: str, key: T.DataType | None = None) -> DataFrame:
-    """(file, key, seq, tombstone, value, reason, offset): the records of all log files under path; reason and offset are the
-    file's, and a file without a good record gives one row of nulls with them."""
-    ship(spark)
+def decoded(files: DataFrame, key: T.DataType | None = None) -> DataFrame:
+    """(file, key, seq, tombstone, value, reason, offset): the records of logs (path, content); reason and offset are the
+    log's, and a log without a good record gives one row of nulls with them."""
+    ship(files.sparkSession)
     kind = key or T.IntegerType()
     strings = isinstance(kind, T.StringType)
     arrow = pa.string() if strings else pa.int32()
@@ -138,8 +142,103 @@ def read_wal(spark: SparkSession, path: str, key: T.DataType | None = None) -> D
                     part = rows[i : i + 10_000]
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, *r, got.reason, got.offset), strict=True)) for r in part], schema)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, f"file string, key {kind.simpleString()}, seq long, tombstone boolean, value binary, reason string, offset long")
+    return files.select("path", "content").mapInArrow(run, f"file string, key {kind.simpleString()}, seq long, tombstone boolean, value binary, reason string, offset long")
+
+
+def truncated(files: DataFrame, key: T.DataType | None = None) -> DataFrame:
+    """(path, content): logs cut where their replay stops, so that the next one ends clean."""
+    ship(files.sparkSession)
+    strings = isinstance(key, T.StringType)
+
+    def run(batches):
+        for batch in batches:
+            kept = [raw[: replay(raw, strings).offset] for raw in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(kept, pa.binary())], ["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_wal(spark: SparkSession, path: str, key: T.DataType | None = None) -> DataFrame:
+    """decoded() of all log files under path."""
+    return decoded(_files(spark, path), key)
+
+
+def truncate_logs(spark: SparkSession, path: str, key: T.DataType | None = None) -> list[str]:
+    """Cuts every damaged log file under path where its replay stops; returns their paths.
+
+    The files are read by tasks; the driver gets one row for each damaged file and replaces it by its good prefix in one rename.
+    """
+    from tidemark.sources.manifest import Files
+
+    files = Files(spark)
+    damaged = read_wal(spark, path, key).where(F.col("reason") != CLEAN).select("file", "offset").distinct().collect()  # a row per damaged file
+    for r in damaged:
+        files.replace(r.file, files.read_bytes(r.file, r.offset))
+    return sorted(r.file for r in damaged)
+
+
+class Log:
+    """A log on a shared file system: a folder of numbered files. Each append is one file, synced before the rename that makes it part of the log.
+
+    Meant for the records since the last flush, which the driver holds; read_wal() reads logs of any number of files in tasks.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, strings: bool = False):
+        from tidemark.sources.manifest import Files
+
+        self.files, self.root, self.strings = Files(spark), root.rstrip("/"), strings
+        self.tag = self.replay().tag
+
+    def paths(self) -> list[str]:
+        return [f"{self.root}/{n}" for n in sorted(x for x in self.files.names(self.root) if x.startswith("wal-") and x.endswith(".log"))]
+
+    def append(self, records: list[tuple[object, int, bytes | None]]) -> str:
+        """Adds (key, seq, value or None) records; they are durable once it returns."""
+        raw = frame(records, self.tag)
+        have = self.paths()
+        number = int(have[-1].rsplit("-", 1)[1][:-4]) + 1 if have else 0
+        temporary = f"{self.root}/.tmp-{uuid.uuid4().hex}"
+        self.files.write(temporary, raw)
+        while not self.files.rename_new(temporary, path := f"{self.root}/wal-{number:012d}.log"):
+            number += 1
+        self.tag = max([s for _, s, _ in records] + ([self.tag] if self.tag is not None else []), default=None)
+        return path
+
+    def replay(self) -> Replay:
+        """All files in order up to the first record that isn't good; offset is within the file where that stands."""
+        records, tag, got = [], None, Replay([], CLEAN, 0)
+        for path in self.paths():
+            got = replay(self.files.read_bytes(path), self.strings, tag)
+            records += got.records
+            tag = got.tag if got.tag is not None else tag
+            if got.reason != CLEAN:
+                break
+        return Replay(records, got.reason, got.offset, tag)
+
+    def recover(self) -> Replay:
+        """replay(), then cuts the file where it stopped and drops the files after it: the next replay gives the same records and ends clean."""
+        tag, stopped, out = None, None, self.replay()
+        if out.reason != CLEAN:
+            for path in self.paths():
+                if stopped is not None:
+                    self.files.delete(path)
+                    continue
+                got = replay(raw := self.files.read_bytes(path), self.strings, tag)
+                tag = got.tag if got.tag is not None else tag
+                if got.reason != CLEAN:
+                    stopped = path
+                    self.files.replace(path, raw[: got.offset])
+        self.tag = out.tag
+        return out
+
+    def reset(self) -> None:
+        """Drops all records, after a flush has made them durable elsewhere; tags go on from the last."""
+        for path in self.paths():
+            self.files.delete(path)
 
 
 def recovered(log: DataFrame) -> DataFrame:
