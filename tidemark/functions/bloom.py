@@ -100,3 +100,26 @@ def probe(filter_bytes: bytes, shape: Shape):
         return pd.Series(contains(filter_bytes, list(keys), shape))
 
     return may_contain
+
+
+def definitely_absent(filters: DataFrame, probes: DataFrame, group: str, key: str, shape: Shape) -> DataFrame:
+    """(key, group) of the probes (group, key, raw) that their group's filter row (group, bloom, lo, hi) rules out: no bounds, beyond them, or a bit unset.
+
+    Filter and probes of a group meet in one task, where the probes stream by in batches.
+    """
+    ship(probes.sparkSession)
+    schema = T.StructType([probes.schema[key], probes.schema[group]])
+    told = filters.select(F.col(group).alias("__g"), "bloom", "lo", "hi")
+    asked = probes.join(told, probes[group] == told["__g"])
+    # bounds first: what they rule out needs no filter
+    beyond = F.col("lo").isNull() | (F.col(key) < F.col("lo")) | (F.col(key) > F.col("hi"))
+    near = asked.where(~beyond).select(group, key, "raw")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select([key, group]).slice(0, 0)
+        miss = ~contains(right.column("bloom")[0].as_py(), left.column("raw").to_pylist(), shape)
+        return left.select([key, group]).filter(pa.array(miss))
+
+    found = near.groupBy(group).cogroup(told.withColumnRenamed("__g", group).select(group, "bloom").groupBy(group)).applyInArrow(run, schema)
+    return asked.where(beyond).select(key, group).union(found)

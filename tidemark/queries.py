@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import bloom, codec
+from tidemark.operators import compaction, merge
 from tidemark.operators import latest as reads
-from tidemark.operators import merge
+from tidemark.operators.metrics import read_amplification
+from tidemark.operators.running import counts_between, ranked
+from tidemark.session import fresh_path, ship
+from tidemark.sources.manifest import Segment
 
 NAMES = {"key": "k", "seq": "seq", "tombstone": "tomb"}
 
@@ -76,8 +80,17 @@ def scan_limit(spark, d):
     return reads.scan(orders_log(spark, d).drop("seg"), 100, None, 100, **NAMES)
 
 
+def _probes(log: DataFrame, name: str) -> DataFrame:
+    """Every key of the log and the number after it: some held, some not, as many as there are keys."""
+    return log.select(F.explode(F.array(F.col("k"), F.col("k") + 1)).alias(name)).distinct()
+
+
+PROBES = "probes AS (SELECT DISTINCT k FROM (SELECT k FROM {log} UNION ALL SELECT k + 1 FROM {log}))"
+
+
 def multi_get(spark, d):
-    return reads.multi_get(events_log(spark, d).drop("seg"), spark.range(200).toDF("k"), **NAMES).select("k", "v")
+    log = events_log(spark, d).drop("seg")
+    return reads.multi_get(log, _probes(log, "k"), **NAMES).select("k", "v")
 
 
 def point_get(spark, d):
@@ -102,18 +115,19 @@ def sparse_index(spark, d):
 
 
 def read_amp_range(spark, d):
-    from tidemark.operators.metrics import read_amplification
-
-    m = segments(events_log(spark, d)).groupBy("seg").agg(F.min("k").alias("min_key"), F.max("k").alias("max_key"))
-    return read_amplification(m, spark.range(200).toDF("key"))
+    log = events_log(spark, d)
+    m = segments(log).groupBy("seg").agg(F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+    return read_amplification(m, _probes(log, "key"))
 
 
 def floor_key(spark, d):
-    return reads.floor_key(reads.live(events_log(spark, d), **NAMES), spark.range(200).toDF("probe"), "k")
+    log = events_log(spark, d)
+    return reads.floor_key(reads.live(log, **NAMES), _probes(log, "probe"), "k")
 
 
 def ceiling_key(spark, d):
-    return reads.ceiling_key(reads.live(orders_log(spark, d), **NAMES), spark.range(1600).toDF("probe"), "k")
+    log = orders_log(spark, d)
+    return reads.ceiling_key(reads.live(log, **NAMES), _probes(log, "probe"), "k")
 
 
 def merge_drop_all(spark, d):
@@ -129,8 +143,9 @@ def merge_retain(spark, d):
 
 
 def _levelled(log: DataFrame, target: int) -> DataFrame:
+    """(k, file) of the live rows as one merge cuts them into files."""
     rows = reads.live(log.drop("seg"), **NAMES).withColumn("bytes", _row_bytes().cast("long"))
-    return merge.level_split(rows, "bytes", target, "k")
+    return merge.exact_split(rows, "bytes", target, "k")
 
 
 def level_split(spark, d):
@@ -141,17 +156,16 @@ def keys_per_file(spark, d):
     return _levelled(orders_log(spark, d), 2510).groupBy("file").agg(F.count("*").alias("entries"))
 
 
+def _bounds(spark, d):
+    return _levelled(orders_log(spark, d), 2510).groupBy("file").agg(F.min("k").alias("min_key"), F.max("k").alias("max_key"))
+
+
 def segment_overlap(spark, d):
-    files = _levelled(orders_log(spark, d), 2510).groupBy("file").agg(F.min("k").alias("min_key"), F.max("k").alias("max_key"))
-    return files.where("min_key <= 400 and max_key >= 300")
+    return _bounds(spark, d).where("min_key <= 400 and max_key >= 300")
 
 
 def read_amp_levelled(spark, d):
-    files = _levelled(orders_log(spark, d), 2510).groupBy("file").agg(F.min("k").alias("min_key"), F.max("k").alias("max_key"))
-    probes = spark.range(0, 1500, 7).toDF("key")
-    from tidemark.operators.metrics import read_amplification
-
-    return read_amplification(files, probes).agg((F.sum("consulted") / F.count("*")).alias("read_amp"))
+    return read_amplification(_bounds(spark, d), _probes(orders_log(spark, d), "key")).agg((F.sum("consulted") / F.count("*")).alias("read_amp"))
 
 
 def space_amp(spark, d):
@@ -196,14 +210,15 @@ def encoded_key_hex(spark, d):
 def key_order(spark, d):
     """Encoded string keys order as their texts do, byte by byte."""
     t = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name")).distinct()
-    w = F.row_number().over(Window.orderBy(codec.encode_string(F.col("name"))))
-    return t.select("name", F.hex(codec.encode_string(F.col("name"))).alias("encoded"), w.alias("place"))
+    return ranked(t.withColumn("raw", codec.encode_string(F.col("name"))), ["raw"]).select("name", F.hex("raw").alias("encoded"), "place")
 
 
 def ycsb_e_ranges(spark, d):
-    ranges = spark.range(50).select(F.col("id").alias("r"), (F.col("id") * 29).alias("low"), (F.col("id") * 29 + F.col("id") % 10 + 1).alias("high"))
-    live = reads.live(orders_log(spark, d).drop("seg"), **NAMES).select("k")
-    return ranges.join(live, F.col("k").between(F.col("low"), F.col("high")), "left").groupBy("r").agg(F.count("k").alias("n"))
+    """Short scans from every customer's key on: how many live keys each finds."""
+    c = F.col("c_custkey")
+    ranges = spark.read.parquet(f"{d}/customer.parquet").select(c.alias("range_id"), c.alias("low"), (c + c % 10).alias("high"))
+    live = reads.live(orders_log(spark, d).drop("seg"), **NAMES)
+    return counts_between(live, ranges, "k").withColumnRenamed("range_id", "r")
 
 
 def read_modify_write(spark, d):
@@ -214,21 +229,43 @@ def read_modify_write(spark, d):
     return reads.live(log.unionByName(new), **NAMES)
 
 
+def _grown(spark, d) -> list[Segment]:
+    """A manifest's rows, sizes spread over several tiers."""
+    rows = segment_bytes(spark, d).withColumn("grown", (F.col("bytes") * (F.col("seg") % 5 + 1)).cast("long")).orderBy("grown", "seg").collect()
+    return [Segment(str(r.seg), 0, 0, 0, None, None, 0, r.grown) for r in rows]
+
+
 def size_tiered_buckets(spark, d):
     """Which size tier each segment falls into, the tier anchored at its smallest member."""
-    from tidemark.operators.compaction import SizeTiered
-    from tidemark.sources.manifest import Segment
-
-    rows = segment_bytes(spark, d).withColumn("grown", (F.col("bytes") * (F.col("seg") % 5 + 1)).cast("long")).orderBy("grown", "seg").collect()  # a manifest
-    tiers = SizeTiered(least=1).tiers([Segment(str(r.seg), 0, 0, 0, None, None, 0, r.grown) for r in rows])
+    tiers = compaction.SizeTiered(least=1).tiers(_grown(spark, d))
     out = [(int(s.path), i, s.bytes) for i, t in enumerate(tiers) for s in t]
     return spark.createDataFrame(out, "seg int, tier int, bytes long")
 
 
+def size_tiered_selection(spark, d):
+    """What size-tiered compaction merges next: the tier of the smallest members that has four."""
+    return spark.createDataFrame([(int(s.path),) for s in compaction.SizeTiered(least=4).select(_grown(spark, d))], "seg int")
+
+
+def full_selection(spark, d):
+    """What full compaction merges: all segments once there are enough, none before."""
+    found = _grown(spark, d)
+    out = [(n, int(s.path)) for n in (10, len(found) + 1) for s in compaction.Full(n).select(found)]
+    return spark.createDataFrame([(seg,) for n, seg in out], "seg int")
+
+
+def leveled_selection(spark, d):
+    """What levelled compaction merges: level 0 with what it overlaps; level 1 from its pointer on; the same with the pointer past all."""
+    rows = segments(orders_log(spark, d)).groupBy("seg").agg(F.sum(_row_bytes()).cast("long").alias("bytes"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("seg").collect()  # a manifest
+    at = lambda r: (r.lo, r.hi) if r.seg % 3 == 0 else (100 * (r.seg // 3), 100 * (r.seg // 3) + 99)
+    found = [Segment(str(r.seg), r.seg % 3, 0, 0, *at(r), 0, r.bytes) for r in rows]
+    deep = [s for s in found if s.level]
+    cases = {"level 0": (compaction.Leveled(), found)} | {f"level 1 after {p}": (compaction.Leveled(base=1000, pointers={1: p}), deep) for p in (450, 10**9)}
+    return spark.createDataFrame([(name, int(s.path)) for name, (c, among) in cases.items() for s in c.select(among)], "case string, seg int")
+
+
 def bloom_fpr(spark, d):
     """Keys of the log are all found in its filter, others at about the filter's rate."""
-    from tidemark.session import ship
-
     ship(spark)
     log = orders_log(spark, d).select("k").distinct()
     n = log.count()
@@ -240,68 +277,148 @@ def bloom_fpr(spark, d):
     return probes.select("member", may(codec.encode_long(F.col("k"))).alias("hit")).groupBy("member").agg(F.count("*").alias("keys"), F.count_if("hit").alias("hits"))
 
 
-def wal_replay(spark, d):
-    """The order log written as log files, read back, and merged: as the live view."""
-    from tidemark.session import ship
+def absent_keys(spark, d):
+    """(k, seg): keys that a segment definitely doesn't hold, by its bounds and its filter; each key asks one segment."""
+    segs = segments(orders_log(spark, d))
+    told = segs.groupBy("seg").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"))
+    most, count = told.agg(F.max("n"), F.count("*")).first()
+    shape = bloom.Shape.of(most, 0.02)
+    filters = bloom.build_filters(segs, "seg", codec.encode_long(F.col("k")), shape).join(told, "seg")
+    probes = _probes(segs, "k").withColumn("seg", (F.col("k") % count).cast("int"))
+    asked = probes.select("seg", "k", codec.encode_long(F.col("k")).alias("raw"))
+    return bloom.definitely_absent(filters, asked, "seg", "k", shape)
+
+
+def _framed(log: DataFrame) -> DataFrame:
+    """(path, content): each segment of the event log as the bytes of one log file, path its number."""
+    ship(log.sparkSession)
     from tidemark.sources import wal
 
-    ship(spark)
-    log = events_log(spark, d).select(F.col("k").cast("int").alias("k"), "seq", "tomb", F.encode(F.col("v").cast("string"), "UTF-8").alias("v"))
+    rows = log.select(F.col("k").cast("int").alias("k"), "seq", "tomb", F.encode(F.col("seq").cast("string"), "UTF-8").alias("v"), "seg")
 
-    def framed(batches):
+    def framed(part):
         import pyarrow as pa
 
-        for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in ("k", "seq", "tomb", "v")), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([wal.frame([(k, s, None if t else v) for k, s, t, v in rows])], pa.binary())], ["content"])
+        part = part.sort_by("seq")
+        columns = zip(*(part.column(c).to_pylist() for c in ("k", "seq", "tomb", "v")), strict=True)
+        raw = wal.frame([(k, s, None if t else v) for k, s, t, v in columns])
+        return pa.table({"path": pa.array([str(part.column("seg")[0])]), "content": pa.array([raw], pa.binary())})
+
+    return rows.groupBy("seg").applyInArrow(framed, "path string, content binary")  # a segment's puts
 
-    files = log.repartitionByRange(4, "seq").sortWithinPartitions("seq").mapInArrow(framed, "content binary")
 
-    def decoded(batches):
+def _damaged(files: DataFrame) -> DataFrame:
+    """The logs with their middle record damaged in a way that the file's number tells; every sixth stays whole."""
+
+    def run(batches):
         import pyarrow as pa
 
+        from tidemark.sources import wal
+
         for b in batches:
-            for raw in b.column("content").to_pylist():
-                got = wal.replay(raw)
-                yield pa.RecordBatch.from_pylist([{"k": k, "seq": s, "tomb": v is None, "v": v} for k, s, v in got.records], pa.schema([("k", pa.int32()), ("seq", pa.int64()), ("tomb", pa.bool_()), ("v", pa.binary())]))
+            out = []
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                starts, at = [], 0
+                while at < len(raw):
+                    starts.append(at)
+                    at += wal.HEAD.size + wal.HEAD.unpack_from(raw, at)[3]
+                m, kind = starts[len(starts) // 2], int(path) % 6
+                change = {2: (m, 4), 3: (m + 16, 4), 5: (m + 8, 8)}.get(kind)  # magic, length, tag
+                if kind == 1:
+                    raw = raw[: m + 10]
+                elif kind == 4:
+                    raw = raw[: m + 20] + bytes([raw[m + 20] ^ 1]) + raw[m + 21 :]
+                elif change:
+                    raw = raw[: change[0]] + b"\0" * change[1] + raw[change[0] + change[1] :]
+                out.append(raw)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    return files.mapInArrow(run, "path string, content binary")
+
+
+def wal_replay(spark, d):
+    """The event log written as log files, read back, and merged: as the live view."""
+    from tidemark.sources import wal
 
-    back = files.mapInArrow(decoded, "k int, seq long, tomb boolean, v binary")
-    return reads.live(back, **NAMES).select(F.col("k").cast("long").alias("k"), "seq", F.decode("v", "UTF-8").cast("double").alias("v"))
+    back = wal.recovered(wal.decoded(_framed(events_log(spark, d))))
+    return reads.live(back).select(F.col("key").cast("long").alias("k"), "seq", F.decode("value", "UTF-8").cast("long").alias("v"))
 
 
-def _store_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    import tempfile
-    import uuid
+def _replays(files: DataFrame) -> DataFrame:
+    from tidemark.sources import wal
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-store-')).rstrip('/')}/store-{uuid.uuid4().hex}"
+    got = wal.decoded(files).groupBy("file", "reason", "offset").agg(F.count("seq").alias("records"))
+    return got.select(F.col("file").cast("int").alias("seg"), "reason", "offset", "records")
 
 
-def _filled_store(spark, d, **options):
+def wal_stop_reasons(spark, d):
+    """Logs of the event table's segments, most of them damaged: why, where and after how many records replay stops."""
+    return _replays(_damaged(_framed(events_log(spark, d))))
+
+
+def wal_truncated(spark, d):
+    """The damaged logs cut where replay stopped: the same records, and a clean end."""
+    from tidemark.sources import wal
+
+    return _replays(wal.truncated(_damaged(_framed(events_log(spark, d)))))
+
+
+def _filled_store(spark, log, cuts, flush: int | None = None, **options):
+    """A store of a log taken in batches that end at the given sequence numbers, the first `flush` of them flushed each."""
     from tidemark.plans.store import Store
 
-    store = Store(spark, _store_dir(spark), T.LongType(), **options)
-    log = events_log(spark, d)
-    for low, high in ((0, 3000), (3000, 6000), (6000, 1 << 40)):
-        rows = log.where((F.col("seq") >= low) & (F.col("seq") < high))
-        value = F.when(~F.col("tomb"), F.encode(F.col("v").cast("string"), "UTF-8"))
-        store.apply_batch(rows.select(F.col("k").alias("key"), F.col("tomb").alias("tombstone"), value.alias("value"), F.col("seq").alias("order")))
-        store.flush()
+    store = Store(spark, fresh_path(spark, "store"), T.LongType(), **options)
+    for i, (low, high) in enumerate(zip((0, *cuts), (*cuts, 1 << 40), strict=True)):
+        _apply(store, log, low, high)
+        if flush is None or i < flush:
+            store.flush()
     return store
 
 
+def _apply(store, log, low, high):
+    rows = log.where((F.col("seq") >= low) & (F.col("seq") < high))
+    value = F.when(~F.col("tomb"), F.encode(F.col("v").cast("string"), "UTF-8"))
+    store.apply_batch(rows.select(F.col("k").alias("key"), F.col("tomb").alias("tombstone"), value.alias("value"), F.col("seq").alias("order")))
+
+
+def _valued(found: DataFrame, *more: str) -> DataFrame:
+    return found.select(F.col("key").alias("k"), F.decode("value", "UTF-8").cast("double").alias("v"), *more)
+
+
 def store_scan(spark, d):
     """Three flushed batches, scanned between two keys."""
-    found = _filled_store(spark, d).scan(20, 90)
-    return found.select(F.col("key").alias("k"), F.decode("value", "UTF-8").cast("double").alias("v"))
+    return _valued(_filled_store(spark, events_log(spark, d), (3000, 6000)).scan(20, 90))
+
+
+def store_tail(spark, d):
+    """One flushed batch and one that is not: a scan reads segment and tail together."""
+    return _valued(_filled_store(spark, orders_log(spark, d), (6000,), flush=1).scan())
 
 
 def store_compacted(spark, d):
-    """The same after compaction: one merged level, the same live rows, no tombstones left."""
-    store = _filled_store(spark, d)
+    """Three batches after compaction: one merged level, the same live rows, no tombstones left."""
+    store = _filled_store(spark, events_log(spark, d), (3000, 6000))
+    store.settle()
+    return _valued(store.snapshot().log(), "tombstone")
+
+
+def store_partial(spark, d):
+    """The first and the last of three segments are merged, the one between stays outside: tombstones stay where it holds their key."""
+    store = _filled_store(spark, orders_log(spark, d), (3000, 6000))
+    first, _, last = sorted(store.manifest.load().segments, key=lambda s: s.max_seq)
+    merged = store.compact([first, last]).segments[-1]
+    return _valued(store.snapshot()._rows([merged]), "tombstone")
+
+
+def store_snapshot(spark, d):
+    """A snapshot taken before a batch, a compaction and a vacuum reads what it read before."""
+    log = events_log(spark, d)
+    store = _filled_store(spark, log.where("seq < 6000"), (3000,))
+    snapshot = store.snapshot()
+    _apply(store, log, 6000, 1 << 40)
     store.settle()
-    return store.snapshot().log().select(F.col("key").alias("k"), F.decode("value", "UTF-8").cast("double").alias("v"), "tombstone")
+    store.vacuum()
+    return _valued(snapshot.scan())
 
 
 def stream_latest(spark, d):
@@ -311,7 +428,7 @@ def stream_latest(spark, d):
     from tidemark.plans.store import Store
     from tidemark.streaming.ingest import ingest
 
-    root = _store_dir(spark)
+    root = fresh_path(spark, "stream")
     source = f"{root}-source"
     log = events_log(spark, d)
     value = F.when(~F.col("tomb"), F.encode(F.col("v").cast("string"), "UTF-8"))
@@ -328,39 +445,75 @@ QUERIES = {
     for f in (
         live_view, latest_raw, scan_range, scan_limit, multi_get, point_get, time_travel, manifest, segment_bytes, sparse_index, read_amp_range, floor_key,
         ceiling_key, merge_drop_all, merge_retain, level_split, keys_per_file, segment_overlap, read_amp_levelled, space_amp, write_amp, tombstone_count,
-        version_diff, shadowed_versions, encoded_key_hex, key_order, ycsb_e_ranges, read_modify_write, size_tiered_buckets, bloom_fpr, wal_replay,
-        store_scan, store_compacted, stream_latest, flush_segments,
+        version_diff, shadowed_versions, encoded_key_hex, key_order, ycsb_e_ranges, read_modify_write, size_tiered_buckets, size_tiered_selection, full_selection,
+        leveled_selection, bloom_fpr, absent_keys, wal_replay, wal_stop_reasons, wal_truncated, store_scan, store_tail, store_compacted, store_partial, store_snapshot,
+        stream_latest, flush_segments,
     )
 }
 
+#: Files are cut row by row: a file ends with the row by which it reaches the target. For SQL that begins WITH RECURSIVE.
 _FILES = (
-    "rows AS (SELECT *, (4 + 9 + 12)::BIGINT AS bytes FROM ({live})), files AS (SELECT *, "
-    "(coalesce(sum(bytes) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {target})::INTEGER AS file FROM rows)"
+    "rows AS (SELECT *, row_number() OVER (ORDER BY k) AS i, (4 + 9 + 12)::BIGINT AS bytes FROM ({live})), "
+    "files AS (SELECT i, k, 0 AS file, bytes AS held FROM rows WHERE i = 1 UNION ALL "
+    "SELECT r.i, r.k, CASE WHEN f.held >= {target} THEN f.file + 1 ELSE f.file END, CASE WHEN f.held >= {target} THEN 0 ELSE f.held END + r.bytes FROM files f JOIN rows r ON r.i = f.i + 1)"
 )
 _LEVELLED = _FILES.format(live=_live_sql("orders_log"), target=2510)
 _BOUNDS = "bounds AS (SELECT file, min(k) AS min_key, max(k) AS max_key FROM files GROUP BY file)"
+_TIERS = (
+    f"WITH RECURSIVE {ORDERS}, {SEGS.format(log='orders_log')}, b AS (SELECT seg, ((16 + sum({ROW_SQL})) * (seg % 5 + 1))::BIGINT AS bytes FROM segs GROUP BY seg), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY bytes, seg) AS i FROM b), "
+    "f AS (SELECT i, seg, bytes, 0 AS tier, bytes AS anchor FROM o WHERE i = 1 UNION ALL "
+    "SELECT o.i, o.seg, o.bytes, CASE WHEN o.bytes <= 1.5 * f.anchor THEN f.tier ELSE f.tier + 1 END, CASE WHEN o.bytes <= 1.5 * f.anchor THEN f.anchor ELSE o.bytes END FROM f JOIN o ON o.i = f.i + 1) "
+)
+#: The level-1 case of levelled selection: the first segment after the pointer, else the first, and what it overlaps below.
+_LEVEL_1 = (
+    "SELECT 'level 1 after {p}' AS case_, m.seg FROM m, (SELECT lo AS a, hi AS b FROM m WHERE level = 1 ORDER BY lo <= {p}, lo LIMIT 1) t "
+    "WHERE (SELECT sum(bytes) FROM m WHERE level = 1) >= 1000 AND ((level = 1 AND lo = a) OR (level = 2 AND lo <= b AND hi >= a))"
+)
+
+
+def _fnv(basis: int) -> str:
+    """FNV-1a over the eight big-endian bytes of u, as a signed number."""
+    h = f"{basis}::UBIGINT"
+    for i in range(8):
+        h = f"((xor({h}, (u >> {56 - 8 * i}) & 255))::HUGEINT * {bloom.PRIME} % 18446744073709551616)::UBIGINT"
+    return f"(CASE WHEN {h} >= 9223372036854775808 THEN {h}::HUGEINT - 18446744073709551616 ELSE {h}::HUGEINT END)"
+
+
+#: Bit numbers of keys k of a table: k probes h1 + i * h2 in 64-bit arithmetic, modulo the bits of a filter for n keys.
+_SHAPE = "shape AS (SELECT bits, greatest(1, round(bits / n * ln(2)))::INTEGER AS probes FROM (SELECT n, (ceil(-n * ln(0.02) / ln(2) ** 2)::BIGINT | 1) AS bits FROM ({n})))"
+_WRAPPED = "(((h1 + i * h2 + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808)"
+_BITS = (
+    f"(SELECT *, ({_WRAPPED} % bits + bits) % bits AS bit FROM (SELECT *, unnest(range(probes)) AS i FROM (SELECT *, {_fnv(bloom.BASIS)} AS h1, {_fnv(bloom.BASIS2)} AS h2 "
+    "FROM (SELECT *, (k::HUGEINT + 9223372036854775808)::UBIGINT AS u FROM {table}), shape)))"
+)
+_RECORD = "(20 + 4 + 9 + CASE WHEN tomb THEN 0 ELSE 4 + length(seq::VARCHAR) END)"
+_REPLAYS = (
+    f"WITH {EVENTS}, r AS (SELECT seg, {_RECORD} AS b, row_number() OVER (PARTITION BY seg ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM events_log), "
+    "g AS (SELECT seg, sum(b) AS o, count(*) AS c FROM r WHERE seg % 6 = 0 OR i < n // 2 GROUP BY seg) "
+)
 
 SQL = {
     "live_view": f"WITH {ORDERS} {_live_sql('orders_log')}",
     "latest_raw": f"WITH {ORDERS} {_latest_sql('orders_log')}",
     "scan_range": f"WITH {EVENTS} {_live_sql('events_log', 'k BETWEEN 20 AND 90')} ORDER BY k",
     "scan_limit": f"WITH {ORDERS} {_live_sql('orders_log', 'k >= 100')} ORDER BY k LIMIT 100",
-    "multi_get": f"WITH {EVENTS} SELECT p.range AS k, v FROM range(200) p LEFT JOIN ({_live_sql('events_log')}) l ON l.k = p.range",
+    "multi_get": f"WITH {EVENTS}, {PROBES.format(log='events_log')} SELECT p.k, v FROM probes p LEFT JOIN ({_live_sql('events_log')}) l ON l.k = p.k",
     "point_get": f"WITH {ORDERS} {_live_sql('orders_log', 'k = 137')}",
     "time_travel": f"WITH {EVENTS} {_live_sql('events_log', 'seq <= 5000')}",
     "manifest": f"WITH {EVENTS}, {SEGS.format(log='events_log')} SELECT seg, count(*) AS entries, min(k) AS min_key, max(k) AS max_key, max(seq) AS max_seq FROM segs GROUP BY seg",
     "segment_bytes": f"WITH {ORDERS}, {SEGS.format(log='orders_log')} SELECT seg, (16 + sum({ROW_SQL}))::BIGINT AS bytes FROM segs GROUP BY seg",
     "sparse_index": f"WITH {EVENTS}, {SEGS.format(log='events_log')} SELECT * FROM (SELECT seg, k, (row_number() OVER (PARTITION BY seg ORDER BY k) - 1)::INTEGER AS place FROM segs) WHERE place % 16 = 0",
-    "read_amp_range": f"WITH {EVENTS}, {SEGS.format(log='events_log')}, m AS (SELECT seg, min(k) AS lo, max(k) AS hi FROM segs GROUP BY seg) "
-    "SELECT p.range AS key, count(seg) AS consulted FROM range(200) p LEFT JOIN m ON p.range BETWEEN lo AND hi GROUP BY p.range",
-    "floor_key": f"WITH {EVENTS} SELECT p.range AS probe, (SELECT max(k) FROM ({_live_sql('events_log')}) WHERE k <= p.range) AS floor FROM range(200) p",
-    "ceiling_key": f"WITH {ORDERS} SELECT p.range AS probe, (SELECT min(k) FROM ({_live_sql('orders_log')}) WHERE k >= p.range) AS ceiling FROM range(1600) p",
+    "read_amp_range": f"WITH {EVENTS}, {PROBES.format(log='events_log')}, {SEGS.format(log='events_log')}, m AS (SELECT seg, min(k) AS lo, max(k) AS hi FROM segs GROUP BY seg) "
+    "SELECT p.k AS key, count(seg) AS consulted FROM probes p LEFT JOIN m ON p.k BETWEEN lo AND hi GROUP BY p.k",
+    "floor_key": f"WITH {EVENTS}, {PROBES.format(log='events_log')} SELECT p.k AS probe, (SELECT max(k) FROM ({_live_sql('events_log')}) WHERE k <= p.k) AS floor FROM probes p",
+    "ceiling_key": f"WITH {ORDERS}, {PROBES.format(log='orders_log')} SELECT p.k AS probe, (SELECT min(k) FROM ({_live_sql('orders_log')}) WHERE k >= p.k) AS ceiling FROM probes p",
     "merge_drop_all": f"WITH {ORDERS} {_live_sql('orders_log')}",
     "merge_retain": f"WITH {ORDERS} SELECT * FROM ({_latest_sql('orders_log', 'seg % 2 = 1')}) WHERE NOT tomb OR k IN (SELECT k FROM orders_log WHERE seg % 2 = 0)",
-    "level_split": f"WITH {EVENTS}, {_FILES.format(live=_live_sql('events_log'), target=300)} SELECT k, file FROM files",
-    "keys_per_file": f"WITH {ORDERS}, {_LEVELLED} SELECT file, count(*) AS entries FROM files GROUP BY file",
-    "segment_overlap": f"WITH {ORDERS}, {_LEVELLED}, {_BOUNDS} SELECT * FROM bounds WHERE min_key <= 400 AND max_key >= 300",
-    "read_amp_levelled": f"WITH {ORDERS}, {_LEVELLED}, {_BOUNDS}, n AS (SELECT p.range AS k, count(file) AS c FROM range(0, 1500, 7) p LEFT JOIN bounds ON p.range BETWEEN min_key AND max_key GROUP BY p.range) "
+    "level_split": f"WITH RECURSIVE {EVENTS}, {_FILES.format(live=_live_sql('events_log'), target=300)} SELECT k, file FROM files",
+    "keys_per_file": f"WITH RECURSIVE {ORDERS}, {_LEVELLED} SELECT file, count(*) AS entries FROM files GROUP BY file",
+    "segment_overlap": f"WITH RECURSIVE {ORDERS}, {_LEVELLED}, {_BOUNDS} SELECT * FROM bounds WHERE min_key <= 400 AND max_key >= 300",
+    "read_amp_levelled": f"WITH RECURSIVE {ORDERS}, {_LEVELLED}, {_BOUNDS}, {PROBES.format(log='orders_log')}, n AS (SELECT p.k, count(file) AS c FROM probes p LEFT JOIN bounds ON p.k BETWEEN min_key AND max_key GROUP BY p.k) "
     "SELECT sum(c)::DOUBLE / count(*) AS read_amp FROM n",
     "space_amp": f"WITH {ORDERS}, {SEGS.format(log='orders_log')} SELECT (SELECT count(*) FROM segs)::DOUBLE / (SELECT count(*) FROM ({_live_sql('orders_log')})) AS space_amp",
     "write_amp": f"WITH {ORDERS}, {SEGS.format(log='orders_log')}, w AS (SELECT 16 + sum({ROW_SQL}) AS b FROM segs GROUP BY seg) SELECT (SELECT sum(b) FROM w)::DOUBLE / (SELECT sum({ROW_SQL}) FROM orders_log) AS write_amp",
@@ -370,16 +523,35 @@ SQL = {
     "FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v",
     "shadowed_versions": f"WITH {ORDERS} SELECT k, count(*) - 1 AS shadowed FROM orders_log GROUP BY k",
     "encoded_key_hex": f"WITH {ORDERS} SELECT DISTINCT k, lpad(upper(to_hex(k + 2147483648)), 8, '0') AS encoded FROM orders_log",
-    "key_order": "SELECT c_name AS name, hex(encode(c_name)) || '0000' AS encoded, row_number() OVER (ORDER BY c_name)::INTEGER AS place FROM (SELECT DISTINCT c_name FROM customer)",
-    "ycsb_e_ranges": f"WITH {ORDERS} SELECT r.range AS r, count(k) AS n FROM range(50) r LEFT JOIN ({_live_sql('orders_log')}) l ON k BETWEEN r.range * 29 AND r.range * 29 + r.range % 10 + 1 GROUP BY r.range",
+    "key_order": "SELECT c_name AS name, hex(encode(c_name)) || '0000' AS encoded, row_number() OVER (ORDER BY c_name) AS place FROM (SELECT DISTINCT c_name FROM customer)",
+    "ycsb_e_ranges": f"WITH {ORDERS} SELECT c_custkey AS r, count(k) AS n FROM customer LEFT JOIN ({_live_sql('orders_log')}) l ON k BETWEEN c_custkey AND c_custkey + c_custkey % 10 GROUP BY c_custkey",
     "read_modify_write": f"WITH {ORDERS} SELECT k, seq + 1000000000 AS seq, tomb, v + 1 AS v FROM ({_live_sql('orders_log')})",
-    "size_tiered_buckets": f"WITH RECURSIVE {ORDERS}, {SEGS.format(log='orders_log')}, b AS (SELECT seg, ((16 + sum({ROW_SQL})) * (seg % 5 + 1))::BIGINT AS bytes FROM segs GROUP BY seg), "
-    "o AS (SELECT *, row_number() OVER (ORDER BY bytes, seg) AS i FROM b), "
-    "f AS (SELECT i, seg, bytes, 0 AS tier, bytes AS anchor FROM o WHERE i = 1 UNION ALL "
-    "SELECT o.i, o.seg, o.bytes, CASE WHEN o.bytes <= 1.5 * f.anchor THEN f.tier ELSE f.tier + 1 END, CASE WHEN o.bytes <= 1.5 * f.anchor THEN f.anchor ELSE o.bytes END FROM f JOIN o ON o.i = f.i + 1) "
-    "SELECT seg, tier, bytes FROM f",
-    "wal_replay": f"WITH {EVENTS} SELECT k, seq, v FROM ({_live_sql('events_log')})",
+    "size_tiered_buckets": _TIERS + "SELECT seg, tier, bytes FROM f",
+    "size_tiered_selection": _TIERS + "SELECT seg FROM f WHERE tier = (SELECT min(tier) FROM (SELECT tier FROM f GROUP BY tier HAVING count(*) >= 4))",
+    "full_selection": f"WITH {ORDERS}, {SEGS.format(log='orders_log')} SELECT seg FROM (SELECT DISTINCT seg FROM segs) WHERE (SELECT count(DISTINCT seg) FROM segs) >= 10",
+    "leveled_selection": f"WITH {ORDERS}, {SEGS.format(log='orders_log')}, m AS (SELECT seg, seg % 3 AS level, sum({ROW_SQL}) AS bytes, CASE WHEN seg % 3 = 0 THEN min(k) ELSE 100 * (seg // 3) END AS lo, "
+    "CASE WHEN seg % 3 = 0 THEN max(k) ELSE 100 * (seg // 3) + 99 END AS hi FROM segs GROUP BY seg), h AS (SELECT count(*) AS n, min(lo) AS a, max(hi) AS b FROM m WHERE level = 0) "
+    "SELECT case_ AS \"case\", seg FROM (SELECT 'level 0' AS case_, seg FROM m, h WHERE n >= 4 AND (level = 0 OR (level = 1 AND lo <= b AND hi >= a)) UNION ALL "
+    + _LEVEL_1.format(p=450) + " UNION ALL " + _LEVEL_1.format(p=10**9) + ")",
+    "bloom_fpr": f"WITH {ORDERS}, keys AS (SELECT DISTINCT k FROM orders_log), {_SHAPE.format(n='SELECT count(*) AS n FROM keys')}, asked AS (SELECT k, true AS member FROM keys UNION ALL SELECT range, false FROM range(1000000, 1020000)), "
+    f"own AS (SELECT DISTINCT bit FROM {_BITS.format(table='keys')}), probed AS (SELECT member, k, count(o.bit) = max(probes) AS hit FROM {_BITS.format(table='asked')} a LEFT JOIN own o ON o.bit = a.bit GROUP BY member, k) "
+    "SELECT member, count(*) AS keys, count(*) FILTER (hit) AS hits FROM probed GROUP BY member",
+    "absent_keys": f"WITH {ORDERS}, {SEGS.format(log='orders_log')}, {PROBES.format(log='segs')}, told AS (SELECT seg, min(k) AS lo, max(k) AS hi, count(*) AS n FROM segs GROUP BY seg), {_SHAPE.format(n='SELECT max(n) AS n FROM told')}, "
+    f"asked AS (SELECT k, (k % (SELECT count(*) FROM told))::INTEGER AS seg FROM probes), own AS (SELECT DISTINCT seg, bit FROM {_BITS.format(table='segs')}), "
+    f"probed AS (SELECT a.seg, a.k, count(o.bit) = max(probes) AS hit FROM {_BITS.format(table='asked')} a LEFT JOIN own o ON o.seg = a.seg AND o.bit = a.bit GROUP BY a.seg, a.k) "
+    "SELECT p.k, p.seg FROM probed p JOIN told t ON t.seg = p.seg WHERE p.k < lo OR p.k > hi OR NOT hit",
+    "wal_replay": f"WITH {EVENTS} SELECT k, seq, seq AS v FROM ({_live_sql('events_log')})",
+    "wal_stop_reasons": _REPLAYS + "SELECT seg, ['CLEAN_EOF', 'TRUNCATED', 'BAD_MAGIC', 'INVALID_LENGTH', 'CHECKSUM_MISMATCH', 'STALE_RECORD'][seg % 6 + 1] AS reason, o::BIGINT AS offset, c AS records FROM g",
+    "wal_truncated": _REPLAYS + "SELECT seg, 'CLEAN_EOF' AS reason, o::BIGINT AS offset, c AS records FROM g",
+    "flush_segments": f"WITH RECURSIVE {ORDERS}, r AS (SELECT k, seq, CASE WHEN tomb THEN 9 ELSE 21 END AS vb, lag(seq) OVER w AS before, lag(CASE WHEN tomb THEN 9 ELSE 21 END) OVER w AS old FROM orders_log WINDOW w AS (PARTITION BY k ORDER BY seq)), "
+    "f AS (SELECT -1 AS flush, -1::BIGINT AS a, -1::BIGINT AS b UNION ALL SELECT flush + 1, b, (SELECT min(seq) FROM (SELECT seq, sum(CASE WHEN before > f.b THEN vb - old ELSE 4 + vb END) OVER (ORDER BY seq) AS held FROM r WHERE seq > f.b) WHERE held >= 8192) "
+    "FROM f WHERE b IS NOT NULL) "
+    "SELECT CASE WHEN f.b IS NULL THEN -1 ELSE flush END AS flush, count(*) AS puts, count(DISTINCT k) AS keys, min(seq) AS first_seq, max(seq) AS last_seq "
+    "FROM f JOIN r ON seq > a AND (f.b IS NULL OR seq <= f.b) WHERE flush >= 0 GROUP BY ALL",
     "store_scan": f"WITH {EVENTS} SELECT k, v FROM ({_live_sql('events_log')}) WHERE k BETWEEN 20 AND 90",
+    "store_tail": f"WITH {ORDERS} SELECT k, v FROM ({_live_sql('orders_log')})",
+    "store_partial": f"WITH {ORDERS} SELECT k, CASE WHEN NOT tomb THEN v END AS v, tomb AS tombstone FROM ({_latest_sql('orders_log', 'seq < 3000 OR seq >= 6000')}) WHERE NOT tomb OR k IN (SELECT k FROM orders_log WHERE seq >= 3000 AND seq < 6000)",
+    "store_snapshot": f"WITH {EVENTS} SELECT k, v FROM ({_live_sql('events_log', 'seq < 6000')})",
     "store_compacted": f"WITH {EVENTS} SELECT k, v, false AS tombstone FROM ({_live_sql('events_log')})",
     "stream_latest": f"WITH {EVENTS} SELECT k, v FROM ({_live_sql('events_log')})",
 }
