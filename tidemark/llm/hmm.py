@@ -10,13 +10,12 @@
 3. Each text is encoded once as a row of class numbers and written. Rare words' counts are looked up by a join on the
    word's hash, distinct words per document only; no table that grows with the corpus is broadcast.
 4. Baum-Welch: each task runs forward and backward over its documents, all documents of a batch in step, and returns one row
-   of expected counts; sixteen tasks and then the driver add them up (states * (states + classes) numbers a row). Every
-   iteration runs on all training documents, and there are as many for any corpus (`warm_rounds` + `full_rounds`). Only a caller
-   who sets `warm_docs` has the first `warm_rounds` see that many documents (of least hashed id) alone.
+   of expected counts; sixteen tasks and then the driver add them up (states * (states + classes) numbers a row). All
+   `rounds` run on all training documents, as many for any corpus.
 5. Scores: the exact likelihood, by the forward recursion scaled at every token, of whole texts.
 
 Edges: null and empty texts are one end token. Texts of any length are scored whole. Repeated rows count each. If no row may be
-trained on, every token is unseen and scores as the base does. Extra columns are ignored.
+trained on, there is no model: score is base_score, which is then 0 for any text. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +39,7 @@ class HmmParams:
     dictionary: int = 200_000
     own: int = 2048
     endings: int = 64
-    warm_docs: int | None = None
-    warm_rounds: int = 12
-    full_rounds: int = 2
+    rounds: int = 14
     smoothing: float = 0.1
     discount: float = 0.6
     seed: int = 3
@@ -103,7 +100,7 @@ class Dictionary:
         return at, self.words[at] == h
 
 
-ENCODED = "uid long, doc_id {id}, role int, place int, n_tokens long, n_frequent long, frequent_base double, frequent_log double, classes binary, rare array<long>, times array<int>, endings array<int>"
+ENCODED = "uid long, doc_id {id}, role int, n_tokens long, n_frequent long, frequent_base double, frequent_log double, classes binary, rare array<long>, times array<int>, endings array<int>"
 
 
 def _encode(p: HmmParams, shared, denominator: float):
@@ -127,7 +124,7 @@ def _encode(p: HmmParams, shared, denominator: float):
                 cuts = pa.array(np.searchsorted(doc[order[head]], np.arange(part.num_rows + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(c) for c in ("uid", "doc_id", "role", "place")), pa.array(np.diff(offsets)),
+                        *(part.column(c) for c in ("uid", "doc_id", "role")), pa.array(np.diff(offsets)),
                         pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float)),
                         pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(kind)]),
                         pa.ListArray.from_arrays(cuts, pa.array(h[order[head]])), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
@@ -164,63 +161,70 @@ class Hmm:
 
 
 def _in_step(sequences: list[np.ndarray]):
-    """Documents by falling length: order, the number that still runs at each step, tokens step by step."""
-    length = np.array([len(s) for s in sequences])
+    """Documents by falling length: order, the number that still runs at each step, where each step's tokens begin, tokens step by step, their documents."""
+    length = np.array([len(s) for s in sequences], np.int64)
     order = np.argsort(-length, kind="stable")
     running = len(length) - np.searchsorted(np.sort(length), np.arange(1, length.max(initial=0) + 1))
     begin = np.concatenate([[0], np.cumsum(running)])
+    length = length[order]
     flat = np.concatenate([sequences[i] for i in order]) if len(order) else np.zeros(0, np.int16)
-    step = np.concatenate([np.arange(n) for n in length[order]]) if len(order) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(order)), length[order])
-    symbols = np.empty(len(flat), np.int64)
-    symbols[begin[step] + row] = flat
-    return order, running, begin, symbols, row, step
-
-
-def forward(model: Hmm, sequences: list[np.ndarray], keep: bool = False):
-    """log10 likelihood of each sequence; with keep also the scaled forward columns (state by token) and scales, step by step."""
-    order, running, begin, symbols, row, step = _in_step(sequences)
-    k = len(model.start)
-    emitted = np.take(np.ascontiguousarray(model.emit.T), symbols, axis=1)
-    scale = np.empty(len(symbols))
-    columns = emitted  # overwritten in place by the forward columns
-    alpha, come = None, np.ascontiguousarray(model.move.T)
-    for t, n in enumerate(running.tolist()):
+    step = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    row = np.repeat(np.arange(len(order), dtype=np.int32), length)
+    at = begin[step] + row
+    symbols, owner = np.empty(len(flat), np.int16), np.empty(len(flat), np.int32)
+    symbols[at], owner[at] = flat, order[row]
+    return running.tolist(), begin.tolist(), symbols, owner
+
+
+def _forward(model: Hmm, running: list[int], begin: list[int], symbols: np.ndarray, kind: type):
+    """Emissions, scaled forward rows (token by state) and scales, step by step."""
+    k, n = len(model.start), len(symbols)
+    emitted = np.ascontiguousarray(model.emit, dtype=kind).take(symbols, axis=0)
+    alpha, scale = np.empty((n, k), kind), np.empty(n, kind)
+    move, start, ones, last = model.move.astype(kind), model.start.astype(kind), np.ones(k, kind), None
+    for t, m in enumerate(running):
         at = slice(begin[t], begin[t + 1])
-        now = emitted[:, at] * (model.start[:, None] if t == 0 else come @ alpha[:, :n])
-        s = np.ones(k) @ now
-        now /= s
-        scale[at] = s
-        if keep:
-            columns[:, at] = now
-        alpha = now
-    total = np.zeros(len(sequences))
-    total[order] = np.bincount(row, np.log10(scale)[begin[step] + row], minlength=len(sequences)) if len(symbols) else 0.0
-    return (total, columns, scale, (running, begin, symbols)) if keep else total
-
-
-def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch's E step: (log10 likelihood, start, move, emit) summed over the sequences."""
-    total, alpha, scale, (running, begin, symbols) = forward(model, sequences, keep=True)
+        now = alpha[at]
+        if last is None:
+            np.multiply(emitted[at], start, out=now)
+        else:
+            np.matmul(last[:m], move, out=now)
+            now *= emitted[at]
+        now /= np.matmul(now, ones, out=scale[at])[:, None]
+        last = now
+    return emitted, alpha, scale
+
+
+def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 likelihood of each sequence, by the forward recursion scaled at every token."""
+    running, begin, symbols, owner = _in_step(sequences)
+    scale = _forward(model, running, begin, symbols, np.float64)[2]
+    return np.bincount(owner, np.log10(scale), minlength=len(sequences))
+
+
+def expected_counts(model: Hmm, sequences: list[np.ndarray], kind: type = np.float64) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch's E step: (log10 likelihood, start, move, emit) summed over the sequences in double precision.
+
+    kind is the precision of the recursions; every row of theirs is scaled to one, so single precision loses no small sequence.
+    """
+    running, begin, symbols, _ = _in_step(sequences)
+    emitted, gamma, scale = _forward(model, running, begin, symbols, kind)
     k = len(model.start)
-    move, beta, emitted = np.zeros((k, k)), None, np.ascontiguousarray(model.emit.T)
-    gamma = alpha  # overwritten from the last step to the first
+    move, back, beta = np.zeros((k, k)), np.ascontiguousarray(model.move.T, dtype=kind), None
+    emitted /= scale[:, None]
     for t in range(len(running) - 1, -1, -1):
-        at = slice(begin[t], begin[t + 1])
-        b = np.ones((k, running[t]))
+        now = emitted[begin[t] : begin[t + 1]]  # becomes what the step before needs: emission times backward, over the scale
         if beta is not None:
-            m = beta.shape[1]
-            b[:, :m] = model.move @ beta
-            move += alpha[:, begin[t] : begin[t] + m] @ beta.T
-        gamma[:, at] *= b
-        # what the step before needs: emission times backward, over the scale
-        beta = np.take(emitted, symbols[at], axis=1)
-        beta *= b
-        beta /= scale[at]
-    move *= model.move
-    start = gamma[:, begin[0] : begin[1]].sum(axis=1) if len(running) else np.zeros(k)
-    emit = np.stack([np.bincount(symbols, gamma[j], minlength=model.emit.shape[0]) for j in range(k)], axis=1)
-    return float(total.sum()), start, move, emit
+            m = len(beta)
+            here = gamma[begin[t] : begin[t] + m]
+            move += here.T @ beta
+            b = beta @ back
+            here *= b
+            now[:m] *= b
+        beta = now
+    start = gamma[: running[0]].sum(axis=0, dtype=np.float64) if running else np.zeros(k)
+    emit = np.stack([np.bincount(symbols, gamma[:, j], minlength=len(model.emit)) for j in range(k)], axis=1)
+    return float(np.log10(scale, dtype=np.float64).sum()), start, move * model.move, emit
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
@@ -240,11 +244,11 @@ def _gathered(batches, most: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _expect(shared, most: int = 1 << 20):
+def _expect(shared, most: int = 1 << 21):
     def run(batches):
         sums = None
         for rows in _gathered(batches, most):
-            got = expected_counts(shared.value, _sequences(rows.column("classes")))
+            got = expected_counts(shared.value, _sequences(rows.column("classes")), np.float32)
             sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
         if sums is not None:
             yield pa.RecordBatch.from_arrays([pa.array([sums[0]]), *(pa.array([x.astype(float).tobytes()], pa.binary()) for x in sums[1:])], ["likelihood", "start", "move", "emit"])
@@ -324,20 +328,15 @@ def score_texts(docs: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
     share[p.own + p.endings :][no_rare] = 0.5
     unseen = np.where(no_rare, 1.0, p.discount * kinds / np.maximum(mass, 1))
     shared = spark.sparkContext.broadcast((d, share))
-    source = docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("place", F.hash(F.xxhash64("doc_id")))
+    source = docs.withColumn("uid", F.monotonically_increasing_id())
     schema = ENCODED.format(id=docs.schema["doc_id"].dataType.simpleString())
     encoded = written(source.mapInArrow(_encode(p, shared, denominator), schema), "encoded")
     # Baum-Welch
     learn = encoded.where("role = 0")
     totals = share.copy()
     model = Hmm.random(totals, p)
-    first = learn
-    if p.warm_docs is not None:
-        picked = learn.select("place").orderBy("place").limit(p.warm_docs).agg(F.max("place")).first()[0]
-        first = written(learn.where(F.col("place") <= picked).select("classes").repartition(8), "warm")
-    if not learn.isEmpty():
-        for r in range(p.warm_rounds + p.full_rounds):
-            model, _ = em_round(first if r < p.warm_rounds else learn, model, totals, p)
+    for _ in range(p.rounds if total else 0):
+        model, _ = em_round(learn, model, totals, p)
     # rare words: counts by a join on the word, summed by document
     looked = encoded.select("uid", F.explode(F.arrays_zip("rare", "times", "endings")).alias("r")).select("uid", "r.rare", "r.times", "r.endings")
     looked = looked.join(counts.select(F.col("word").alias("rare"), "n"), "rare", "left")
@@ -353,9 +352,10 @@ def score_texts(docs: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
     chain = encoded.select("uid", "classes").mapInArrow(_score(final), "uid long, chain double")
     rows = encoded.select("uid", "doc_id", "role", "n_tokens", "n_frequent", "frequent_base", "frequent_log").join(chain, "uid").join(looked, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base, own = F.col("frequent_base") + zero("rare_base"), F.col("chain") + F.col("frequent_log") + zero("rare_log")
     return rows.select(
         "doc_id", "role", "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("frequent_base") + zero("rare_base")).alias("base_score"), (F.col("chain") + F.col("frequent_log") + zero("rare_log")).alias("score"),
+        base.alias("base_score"), (own if total else base).alias("score"),
     )
 
 
