@@ -12,7 +12,8 @@ The rules come from families (versions, wordings, clauses) and are ordered: exac
 then references with versions (2), then bare mentions (1).
 
 Edges: null and empty texts have no words, no places (null first and last), no labels (empty string) and score 0. Repeated rows
-count each. Very long texts are searched whole. Other columns pass through scan(); clashing ones are replaced.
+count each. Very long texts are searched whole: the work grows with a text's words and its matches, not with pairs of matches. An empty
+table gives no rows. Other columns pass through scan(); clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -170,28 +171,49 @@ def _blanks(c: Column) -> Column:
 
 
 def _literal() -> Column:
-    """Rules by keyword: array<struct<k, rules>>, a constant."""
-    by_keyword: dict[str, list[Column]] = {}
+    """Rules by keyword: array<struct<k, rules>>, a constant, as one SQL expression that is parsed at once."""
+    by_keyword: dict[str, list[str]] = {}
     for i, r in enumerate(rules()):
-        rule = F.struct(F.lit(i).alias("i"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("p"), F.lit(r.weight).alias("w"), F.lit(f"(?<= ){r.pattern}(?= )").alias("re"))
+        rule = f"named_struct('i', {i}, 'label', '{r.label}', 'p', {r.priority}, 'w', {r.weight}D, 're', r'(?<= ){r.pattern}(?= )')"
         by_keyword.setdefault(r.keyword, []).append(rule)
-    return F.array(*[F.struct(F.lit(f" {k}").alias("k"), F.array(*group).alias("rules")) for k, group in by_keyword.items()])
+    return F.expr("array(" + ", ".join(f"named_struct('k', ' {k}', 'rules', array({', '.join(group)}))" for k, group in by_keyword.items()) + ")")
+
+
+#: A match in the text stands between these; neither can be in a word or between words once the text is normal.
+BEGIN, END = "\x01", "\x02"
+#: What sorts hits for the sweep: begin, longest first, highest priority first, first rule first.
+HITS = "array<struct<b:int,ne:int,np:int,i:int,w:double,label:string>>"
 
 
 def _intervals(norm: Column, r: Column) -> Column:
-    """Intervals of words (begin, end, ...) of all matches of rule r."""
-    between = F.split(norm, r["re"], -1)
-    found = F.regexp_extract_all(norm, r["re"], F.lit(0))
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("b"), found.alias("m"))
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<b:int,e:int,i:int,p:int,w:double,label:string>>").alias("out"))
+    """Intervals of words [b, -ne) of all matches of rule r: their ends are marked in one replacement, and words counted up to the marks."""
+    marked = F.split(F.regexp_replace(norm, r["re"], F.lit(f"{BEGIN}$0{END}")), F.lit(" "))
+    # the text begins with a blank, so word n is the piece n + 1
+    begins = F.filter(F.transform(marked, lambda w, n: F.when(F.startswith(w, F.lit(BEGIN)), n - 1)), lambda n: n.isNotNull())
+    ends = F.filter(F.transform(marked, lambda w, n: F.when(F.endswith(w, F.lit(END)), -n)), lambda n: n.isNotNull())
+    one = lambda x: F.struct(x["b"].alias("b"), x["ne"].alias("ne"), (-r["p"]).alias("np"), r["i"].alias("i"), r["w"].alias("w"), r["label"].alias("label"))
+    return F.transform(F.arrays_zip(begins.alias("b"), ends.alias("ne")), one)
+
+
+def _survivors(hits: Column) -> Column:
+    """(labels, w): the distinct labels and the greatest weight of hits that none suppresses, in one sweep over them in order.
+
+    What can suppress a hit stands before it in that order: a containing interval begins no later, and of equal ones the higher priority
+    and then the earlier rule come first. So a hit falls exactly if one before it, of its priority or higher, ends no earlier.
+    """
+    none = F.lit(0)
+    start = F.struct(none.alias("e1"), none.alias("e2"), none.alias("e3"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("w"))
 
     def step(acc, x):
-        b = acc["at"] + _blanks(x["b"])
-        e = b + _blanks(x["m"])
-        one = F.struct(b.alias("b"), e.alias("e"), r["i"].alias("i"), r["p"].alias("p"), r["w"].alias("w"), r["label"].alias("label"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        e, p = -x["ne"], -x["np"]
+        reach = F.when(p == 3, acc["e3"]).when(p == 2, acc["e2"]).otherwise(acc["e1"])  # the furthest end of priority p or higher
+        stays = reach < e
+        seen = lambda name, least: F.when(p >= least, F.greatest(acc[name], e)).otherwise(acc[name]).alias(name)
+        fresh = stays & ~F.array_contains(acc["labels"], x["label"])
+        labels = F.when(fresh, F.concat(acc["labels"], F.array(x["label"]))).otherwise(acc["labels"])
+        return F.struct(seen("e1", 1), seen("e2", 2), seen("e3", 3), labels.alias("labels"), F.when(stays, F.greatest(acc["w"], x["w"])).otherwise(acc["w"]).alias("w"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.aggregate(F.array_sort(hits), start, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["w"].alias("w")))
 
 
 def _gate() -> str:
@@ -210,28 +232,21 @@ def scan(docs: DataFrame) -> DataFrame:
     # a gate in one pass over the text: most texts hold no keyword
     gate = n.rlike(_gate())
     fit = F.flatten(F.transform(F.filter(_literal(), lambda g: F.contains(n, g["k"])), lambda g: g["rules"]))
-    hits = F.flatten(F.transform(fit, lambda r: _intervals(n, r)))
-    df = df.withColumn("__hits", F.when(gate, hits).otherwise(F.array().cast("array<struct<b:int,e:int,i:int,p:int,w:double,label:string>>")))
+    hits = F.flatten(F.transform(F.filter(fit, lambda r: F.regexp_like(n, r["re"])), lambda r: _intervals(n, r)))
+    df = df.withColumn("__hits", F.when(gate, hits).otherwise(F.array().cast(HITS)))
     df = df.withColumn("n_words", F.greatest(_blanks(n) - 1, F.lit(0)).cast("long"))
-    h = F.col("__hits")
-    base = F.filter(h, lambda x: x["p"] == 9)
-    own = F.filter(h, lambda x: x["p"] < 9)
-
-    def beats(y, x):
-        longer = (y["e"] - y["b"]) > (x["e"] - x["b"])
-        same = (y["e"] == x["e"]) & (y["b"] == x["b"])
-        return (y["b"] <= x["b"]) & (y["e"] >= x["e"]) & ((y["p"] > x["p"]) | ((y["p"] == x["p"]) & (longer | (same & (y["i"] < x["i"])))))
-
-    # two levels of names keep the inner search from being repeated for each column
+    base = F.filter("__hits", lambda x: x["np"] == -9)
+    own = F.filter("__hits", lambda x: x["np"] > -9)
+    # levels of names keep the search and the sweep from being repeated for each column
     df = df.withColumn("__base", base).withColumn("__own", own)
-    df = df.withColumn("__left", F.filter("__own", lambda x: ~F.exists(F.col("__own"), lambda y: beats(y, x))))
+    df = df.withColumn("__left", _survivors(F.col("__own")))
     begins = F.transform("__base", lambda x: x["b"].cast("long"))
-    labels = lambda c: F.transform(c, lambda x: x["label"])
+    labels = F.transform("__base", lambda x: x["label"])
     return df.select(
         *docs.columns, "n_words", F.size("__base").cast("long").alias("n_base"), F.array_min(begins).alias("first_word"), F.array_max(begins).alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct(labels("__base"))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(labels("__base"), labels("__left")))), ",").alias("labels"),
-        F.coalesce(F.array_max(F.transform(F.concat("__base", "__left"), lambda x: x["w"])), F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(labels, F.col("__left.labels")))), ",").alias("labels"),
+        F.greatest(F.coalesce(F.array_max(F.transform("__base", lambda x: x["w"])), F.lit(0.0)), F.col("__left.w")).alias("score"),
     )
 
 
