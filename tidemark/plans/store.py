@@ -209,17 +209,18 @@ class Store:
         stage = f"{self.path}/stage/{uuid.uuid4().hex}"
         rows.select("key", "tombstone", "value", F.monotonically_increasing_id().alias("n")).write.parquet(stage)
         staged = self.spark.read.schema(T.StructType([*(f for f in self.schema if f.name != "seq"), T.StructField("n", T.LongType())])).parquet(stage)
-        counts = {r.p: r.c for r in staged.groupBy(F.shiftright("n", 33).alias("p")).agg(F.count("*").alias("c")).collect()}  # a row per partition
-        if not counts:
+        told = staged.groupBy(F.shiftright("n", 33).alias("p")).agg(*self._told()).orderBy("p").collect()  # a row per partition
+        if not told:
             self.manifest.files.delete(stage)
             return now
-        total, offsets = 0, []
-        for p in sorted(counts):
-            offsets.append((p, total))
-            total += counts[p]
-        place = F.broadcast(self.spark.createDataFrame(offsets, "p long, o long"))
-        numbered = staged.withColumn("p", F.shiftright("n", 33)).join(place, "p").withColumn("at", F.col("o") + F.col("n").bitwiseAND((1 << 33) - 1) + 1)
+        total, offsets = 0, [0] * (told[-1].p + 1)  # a number per partition
+        for r in told:
+            offsets[r.p] = total
+            total += r.n
+        offset = F.get(F.expr(f"array({', '.join(f'{o}L' for o in offsets)})"), F.shiftright("n", 33).cast("int"))
+        numbered = staged.withColumn("at", offset + F.col("n").bitwiseAND((1 << 33) - 1) + 1)
         path = f"{self.path}/tail/{uuid.uuid4().hex}"
+        part = Segment(path, -1, total, sum(r.t for r in told), min(r.lo for r in told), max(r.hi for r in told), 0, sum(r.b for r in told) + codec.FILE_HEAD)
 
         def change(v: Version) -> Version:
             if _replayed(v, batch_id):
@@ -232,13 +233,11 @@ class Store:
 
         while True:
             # the sequence numbers rest on the last version's; another writer's commit means numbering anew
-            now = self.manifest.load()
             if _replayed(now, batch_id):
                 self.manifest.files.delete(stage)
                 return now
             base = now.last_seq
             numbered.select("key", (F.col("at") + base).alias("seq"), "tombstone", "value").write.mode("overwrite").parquet(path)
-            part = self._described(path, level=-1)[0]
 
             def only_next(v: Version, base=base) -> Version:
                 if v.last_seq != base:
@@ -249,21 +248,22 @@ class Store:
                 done = self.manifest.commit(only_next)
                 break
             except CommitConflict:
-                continue
+                now = self.manifest.load()
         self.manifest.files.delete(stage)
         if sum(s.bytes for s in done.tail) >= self.tail_bytes:
             done = self.flush()
         return done
 
-    def _described(self, path: str, level: int, by_file: bool = False) -> list[Segment]:
-        """What a manifest tells of written rows, by one aggregate over them."""
-        rows = self.spark.read.schema(self.schema).parquet(path)
+    def _told(self) -> list:
+        """What a manifest tells of rows, as aggregates."""
         size = codec.record_size(F.col("key"), self.key_type, F.col("tombstone"), F.coalesce(F.octet_length("value"), F.lit(0)))
-        name = F.input_file_name() if by_file else F.lit(path)
-        told = rows.select("key", "seq", "tombstone", size.alias("b"), name.alias("file")).groupBy("file").agg(
-            F.count("*").alias("n"), F.sum(F.col("tombstone").cast("int")).alias("t"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("seq").alias("s"), F.sum("b").alias("b")
-        )
-        return [Segment(r.file, level, r.n, r.t, r.lo, r.hi, r.s, r.b + codec.FILE_HEAD) for r in told.orderBy("lo").collect()]  # a row per file
+        return [F.count("*").alias("n"), F.sum(F.col("tombstone").cast("int")).alias("t"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum(size).alias("b")]
+
+    def _described(self, path: str, level: int) -> list[Segment]:
+        """The manifest's rows of the files under path, by one aggregate over them."""
+        rows = self.spark.read.schema(self.schema).parquet(path).withColumn("file", F.input_file_name())
+        told = rows.groupBy("file").agg(*self._told(), F.max("seq").alias("s")).orderBy("lo").collect()  # a row per file
+        return [Segment(r.file, level, r.n, r.t, r.lo, r.hi, r.s, r.b + codec.FILE_HEAD) for r in told]
 
     def _write_segments(self, rows: DataFrame, level: int, inputs: Iterable[Segment]) -> list[Segment]:
         """Key-ordered Parquet files of about file_bytes, each a segment, and their bloom filters; LostRows unless every row is there.
@@ -276,7 +276,7 @@ class Store:
         seen = Observation()
         cut = level_split(rows.withColumn("__size", size), "__size", self.file_bytes, ranges=ranges, seen=seen).drop("__size")
         cut.sortWithinPartitions("part", "file", "key").write.partitionBy("part", "file").parquet(path)
-        segments = self._described(path, level, by_file=True)
+        segments = self._described(path, level)
         if sum(s.entries for s in segments) != seen.get.get("n", 0):
             self.manifest.files.delete(path)
             raise LostRows(f"{seen.get.get('n', 0)} rows were to be written, {sum(s.entries for s in segments)} are there")
