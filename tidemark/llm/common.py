@@ -1,42 +1,14 @@
-"""What the operators share: the shared folder, tables written to cut lineage, guarded broadcasts."""
+"""What the operators share: guarded broadcasts, bounded batches, tables by name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (tests, a single machine) is a temporary folder made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from tidemark.session import fresh_path, ship, written
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and rereads it: cuts lineage, survives lost executors,
-    and gives the planner the true size, by which it chooses between broadcast and shuffled joins."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "crc_mod5", "drop_written", "empty", "fresh_path", "small", "table", "written"]
 
 
 def drop_written(df: DataFrame) -> None:

@@ -10,8 +10,8 @@ its target rounded down. Documents are first summed by the leading digits of tha
 source is no burden); whole buckets lie under or over the rest, and only the one bucket per source that the rest
 ends in is put in order, about 1 / 4096 of the source.
 
-Edges: null texts have size 0, null sources are one source that comes last, an empty table gives no rows. Rows that
-repeat an id are taken one after the other, longer ones first. Other columns pass through in mixed(); columns that
+Edges: null texts have size 0, null sources are one source that comes last, an empty table gives no rows. Very long texts
+are counted whole. Rows that repeat an id are taken one after the other, longer ones first. Other columns pass through in mixed(); columns that
 clash with the added ones (size, source_size, target, taken) are replaced.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, written
+from tidemark.operators.running import running
 
 EPOCHS = 3
 DIGITS = 3
@@ -52,12 +53,10 @@ def _targets(sources: DataFrame, weights: list[int], epochs: int) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("clamped") | F.col("free").isNull(), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
-def mixed(docs: DataFrame, weights: list[int] = (1, 2, 3), epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
-    """docs with size, source_size, target (words, of its source) and taken (words, repeats counted)."""
-    docs = docs.drop(*ADDED)
-    sized = _sized(docs, seed)
+def _mixed(sized: DataFrame, weights: list[int], epochs: int) -> DataFrame:
+    """sized, as _sized() gives it, with source_size, target and taken."""
     buckets = written(sized.groupBy("source", "__bucket").agg(F.sum("size").alias("n")), "buckets")
-    sources = _targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), list(weights), epochs)
+    sources = _targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as long) div source_size")).otherwise(F.lit(0)))
     sources = sources.withColumn("rest", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
     sources = written(sources, "sources")  # a row for each source: joins choose broadcast by its true size
@@ -65,21 +64,35 @@ def mixed(docs: DataFrame, weights: list[int] = (1, 2, 3), epochs: int = EPOCHS,
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = buckets.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
     placed = placed.toDF("b_source", "b_bucket", "n", "begin").join(sources, F.col("b_source").eqNullSafe(F.col("source"))).where("begin <= rest and rest < begin + n")
-    edge = written(placed.select(F.col("b_source").alias("e_source"), F.col("b_bucket").alias("edge"), F.col("rest") - F.col("begin")).toDF("e_source", "edge", "room"), "edge")
-    levels = sources.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").select(F.col("source").alias("l_source"), "source_size", "target", "whole", "rest", "edge", "room")
+    # the edge buckets are put in order together, source by source: base is what lies before a source's own
+    earlier = Window.orderBy("b_source").rowsBetween(Window.unboundedPreceding, -1)
+    edge = placed.select("b_source", "b_bucket", (F.col("rest") - F.col("begin")).alias("room"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    edge = written(edge.toDF("e_source", "edge", "room", "base"), "edge")
+    levels = sources.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").select(F.col("source").alias("l_source"), "source_size", "target", "whole", "rest", "edge", "room", "base")
     levels = written(levels, "levels")
     rows = sized.join(levels, sized.source.eqNullSafe(levels.l_source))
-    inside = rows.where("__bucket = edge")
-    run = Window.partitionBy("source").orderBy("__place", F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(run), F.lit(0))))
-    inside = inside.withColumn("part", part)
+    inside = rows.where("__bucket = edge").withColumn("__shorter", -F.col("size")).withColumn("__row", F.monotonically_increasing_id())
+    inside = running(inside, ["source", "__place", "__shorter", "__row"], F.col("size"), F.sum, "__run")
+    inside = inside.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - (F.col("__run") - F.col("size") - F.col("base")))))
     outside = rows.where("__bucket <> edge or edge is null").withColumn("part", F.when((F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("__bucket") < F.col("edge"))), F.col("size")).otherwise(F.lit(0)))
-    out = inside.unionByName(outside).withColumn("taken", (F.col("whole") * F.col("size") + F.col("part")).cast("long"))
-    return out.select(*docs.columns, *ADDED)
+    out = inside.drop("__shorter", "__row", "__run").unionByName(outside)
+    return out.withColumn("taken", (F.col("whole") * F.col("size") + F.col("part")).cast("long"))
+
+
+def mixed(docs: DataFrame, weights: list[int] = (1, 2, 3), epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
+    """docs with size, source_size, target (words, of its source) and taken (words, repeats counted)."""
+    docs = docs.drop(*ADDED)
+    return _mixed(_sized(docs, seed), list(weights), epochs).select(*docs.columns, *ADDED)
+
+
+def mixed_sizes(docs: DataFrame, weights: list[int] = (1, 2, 3), epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
+    """mixed() without the texts, whose words are counted once: all else rests on a written table of ids, sources and sizes."""
+    sized = written(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"), "sized")
+    return _mixed(sized, list(weights), epochs).select("doc_id", "source", *ADDED)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", *ADDED)
+    return mixed_sizes(table(spark, sf_dir, "documents")).select("doc_id", *ADDED)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
