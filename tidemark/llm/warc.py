@@ -7,12 +7,14 @@ payloads (by length and SHA-1) that of the least page_id becomes a response, the
 Reading, format "warc": partitions are planned from a listing on the driver, several small files or one large file each. A task
 reads the headers of a record first. Equality, IN and null predicates on record_type, record_id, target_uri, payload_digest
 and refers_to are pushed down and decided on the headers alone; payloads of records that fail, and all payloads under
-option payload=false, are skipped by a seek (in .gz files by reading on) and never decoded. Memory is bounded by a header and
-a batch of about `batch_bytes` of wanted payloads.
+option payload=false, are skipped by a seek (in .gz files by reading on) and never decoded; a skip beyond the file's end is an
+error as a short read is. Memory is bounded by a header, the largest wanted payload and a batch of about `batch_bytes` of them. An archive is
+read by one task: keep archives near a gigabyte, as write_warc() does by records.
 
 Edges: null html is an empty payload; null url an empty URI; control characters and blanks in a URI are percent-coded. Of
 rows that repeat both the least page_id and the payload each is a response. A null page_id counts as larger than all
-and is written as the word null. Empty tables give no records. A truncated last record raises an error.
+and is written as the word null. Very long payloads are written and read whole. Empty tables give no records. Other columns of pages are
+ignored. A truncated last record raises an error, whether its payload is wanted or not.
 """
 
 from __future__ import annotations
@@ -88,6 +90,7 @@ class _Bytes:
         system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         self.gz = path.endswith(".gz")
         self.file = system.open_input_stream(name, compression=None) if self.gz else system.open_input_file(name)
+        self.size = None if self.gz else self.file.size()
         self.block, self.buffer, self.at = block, b"", 0
         self.inflater = zlib.decompressobj(31) if self.gz else None
 
@@ -144,8 +147,11 @@ class _Bytes:
                     raise ValueError("the file ends within a record")
             self.at += n
         else:
+            to = self.file.tell() + n - there
+            if to > self.size:
+                raise ValueError("the file ends within a record")
             self.buffer, self.at = b"", 0
-            self.file.seek(self.file.tell() + n - there)
+            self.file.seek(to)
 
 
 def _fields(raw: bytes) -> dict[str, str]:
@@ -272,9 +278,12 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    found = read_warc(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    found = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
     page = lambda c: F.expr(f"try_cast(substring({c}, {len(URN) + 1}) as bigint)")
-    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    # of responses both are told by the bytes read back; a revisit has none, so that its headers tell
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    digest = F.coalesce(base32_sha1(F.col("payload")), F.col("payload_digest"))
+    return found.select(page("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
 OP6_SQL = r"""
