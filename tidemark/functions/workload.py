@@ -16,9 +16,14 @@ MIXES = {
 
 
 def splitmix64(seed: int, n: int) -> np.ndarray:
-    """n values of the generator from a seed, all at once: the state is seed plus multiples of a constant."""
+    """The first n values of the generator from a seed, all at once."""
+    return splitmix64_at(seed, np.arange(1, n + 1, dtype=np.uint64))
+
+
+def splitmix64_at(seed: int, places: np.ndarray) -> np.ndarray:
+    """The values at places, counted from 1: the state is seed plus multiples of a constant, so no value needs those before it."""
     with np.errstate(over="ignore"):
-        z = np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = np.uint64(seed) + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -49,5 +54,22 @@ def operations(mix: str, keys: int, count: int, seed: int = 42, longest_scan: in
     return kinds, key, length
 
 
+def key_order(spark, n: int, seed: int = 42):
+    """(id, value, key): the ids 0..n-1 with their generator values, by which a shuffled load is ordered, and their text keys; made in tasks."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tidemark.session import ship
+
+    ship(spark)
+
+    def run(batches):
+        for b in batches:
+            z = splitmix64_at(seed, b.column("id").to_numpy() + 1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(z.view(np.int64))], ["id", "value"])
+
+    return spark.range(n).mapInArrow(run, "id long, value long").withColumn("key", F.format_string("user%012d", "id"))
+
+
 def user_key(i: int) -> str:
     return f"user{i:012d}"

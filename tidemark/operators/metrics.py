@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.latest import live
-from tidemark.operators.running import holding
+from tidemark.operators.running import holding, ranked
 from tidemark.sources.manifest import Version
 
 
@@ -28,6 +29,24 @@ def space_amplification(log: DataFrame, **names) -> float:
     return n / m if m else float(n > 0)
 
 
+def latencies(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, avg, p50, p99, max): latency_summary()'s figures for each group of a table of times, by place in one distributed order.
+
+    Null times are left out. A group with a third of all rows is dealt over as many ranges as its rows need.
+    """
+    rows = rows.select(group, value).where(F.col(value).isNotNull())
+    placed = ranked(rows, [group, value])
+    told = rows.groupBy(group).agg(F.avg(value).alias("avg"), F.max(value).alias("max"), F.count("*").alias("n"))
+    first = placed.groupBy(group).agg(F.min("place").alias("first")).withColumnRenamed(group, "__g")
+    told = told.join(first, F.col(group).eqNullSafe(F.col("__g"))).select(F.col(group).alias("__g"), "avg", "max", "n", "first")
+    at = F.col("place") - F.col("first")  # from 0 in its group
+    half, most = F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.99))
+    picked = placed.join(told, placed[group].eqNullSafe(told["__g"])).where((at == half) | (at == most))
+    return picked.groupBy(group).agg(
+        F.first("avg").alias("avg"), F.max(F.when(at == half, F.col(value))).alias("p50"), F.max(F.when(at == most, F.col(value))).alias("p99"), F.first("max").alias("max")
+    )
+
+
 def latency_summary(times: list[float]) -> dict[str, float]:
     """Mean, median, 99th percentile (by place in the sorted list), maximum and operations a second of times in seconds."""
     a = sorted(times)

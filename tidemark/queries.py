@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import bloom, codec
-from tidemark.operators import compaction, merge
+from tidemark.functions import bloom, codec, workload
+from tidemark.operators import compaction, merge, metrics
 from tidemark.operators import latest as reads
 from tidemark.operators.metrics import read_amplification
 from tidemark.operators.running import counts_between, ranked
@@ -421,6 +421,25 @@ def store_snapshot(spark, d):
     return _valued(snapshot.scan())
 
 
+def store_background(spark, d):
+    """Flushes that start compactions in the background, awaited: the same live rows."""
+    store = _filled_store(spark, orders_log(spark, d), (5000,), selector=compaction.Full(2), background=True)
+    store.await_compaction()
+    return _valued(store.scan())
+
+
+def latencies(spark, d):
+    """Mean, median, 99th percentile and maximum of the events' values by type, by place in the sorted list."""
+    t = spark.read.parquet(f"{d}/events.parquet")
+    return metrics.latencies(t.select("event_type", "value"), "event_type", "value")
+
+
+def load_order(spark, d):
+    """A shuffled load of as many keys as there are customers: each key's generator value."""
+    n = spark.read.parquet(f"{d}/customer.parquet").count()
+    return workload.key_order(spark, n)
+
+
 def stream_latest(spark, d):
     """The event log as a stream, ingested into a store and scanned."""
     import uuid
@@ -447,7 +466,7 @@ QUERIES = {
         ceiling_key, merge_drop_all, merge_retain, level_split, keys_per_file, segment_overlap, read_amp_levelled, space_amp, write_amp, tombstone_count,
         version_diff, shadowed_versions, encoded_key_hex, key_order, ycsb_e_ranges, read_modify_write, size_tiered_buckets, size_tiered_selection, full_selection,
         leveled_selection, bloom_fpr, absent_keys, wal_replay, wal_stop_reasons, wal_truncated, store_scan, store_tail, store_compacted, store_partial, store_snapshot,
-        stream_latest, flush_segments,
+        store_background, latencies, load_order, stream_latest, flush_segments,
     )
 }
 
@@ -487,6 +506,12 @@ _BITS = (
     f"(SELECT *, ({_WRAPPED} % bits + bits) % bits AS bit FROM (SELECT *, unnest(range(probes)) AS i FROM (SELECT *, {_fnv(bloom.BASIS)} AS h1, {_fnv(bloom.BASIS2)} AS h2 "
     "FROM (SELECT *, (k::HUGEINT + 9223372036854775808)::UBIGINT AS u FROM {table}), shape)))"
 )
+def _mixed_sql(z: str, shift: int, times: int) -> str:
+    """One step of the generator's finaliser on an unsigned 64-bit number."""
+    x = f"xor({z}, {z} >> {shift})"  # multiplied in halves of 32 bits: the whole product has 128
+    return f"(((({x} >> 32)::HUGEINT * {times} % 4294967296) * 4294967296 + ({x} & 4294967295)::HUGEINT * {times}) % 18446744073709551616)::UBIGINT"
+
+
 _RECORD = "(20 + 4 + 9 + CASE WHEN tomb THEN 0 ELSE 4 + length(seq::VARCHAR) END)"
 _REPLAYS = (
     f"WITH {EVENTS}, r AS (SELECT seg, {_RECORD} AS b, row_number() OVER (PARTITION BY seg ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY seg) AS n FROM events_log), "
@@ -552,6 +577,11 @@ SQL = {
     "store_tail": f"WITH {ORDERS} SELECT k, v FROM ({_live_sql('orders_log')})",
     "store_partial": f"WITH {ORDERS} SELECT k, CASE WHEN NOT tomb THEN v END AS v, tomb AS tombstone FROM ({_latest_sql('orders_log', 'seq < 3000 OR seq >= 6000')}) WHERE NOT tomb OR k IN (SELECT k FROM orders_log WHERE seq >= 3000 AND seq < 6000)",
     "store_snapshot": f"WITH {EVENTS} SELECT k, v FROM ({_live_sql('events_log', 'seq < 6000')})",
+    "store_background": f"WITH {ORDERS} SELECT k, v FROM ({_live_sql('orders_log')})",
+    "latencies": "SELECT event_type, avg(value) AS avg, list_sort(list(value))[count(*) // 2 + 1] AS p50, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.99)::BIGINT) + 1] AS p99, max(value) AS max FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    "load_order": "WITH a AS (SELECT range AS id, ((42 + (range + 1)::HUGEINT * 11400714819323198485) % 18446744073709551616)::UBIGINT AS z FROM range((SELECT count(*) FROM customer))), "
+    f"b AS (SELECT id, {_mixed_sql('z', 30, 13787848793156543929)} AS z FROM a), c AS (SELECT id, {_mixed_sql('z', 27, 10723151780598845931)} AS z FROM b), e AS (SELECT id, xor(z, z >> 31)::HUGEINT AS z FROM c) "
+    "SELECT id, (CASE WHEN z >= 9223372036854775808 THEN z - 18446744073709551616 ELSE z END)::BIGINT AS value, 'user' || lpad(id::VARCHAR, 12, '0') AS key FROM e",
     "store_compacted": f"WITH {EVENTS} SELECT k, v, false AS tombstone FROM ({_live_sql('events_log')})",
     "stream_latest": f"WITH {EVENTS} SELECT k, v FROM ({_live_sql('events_log')})",
 }
