@@ -207,6 +207,13 @@ def encoded_key_hex(spark, d):
     return orders_log(spark, d).select("k").distinct().select("k", F.hex(codec.encode_int(F.col("k"))).alias("encoded"))
 
 
+def key_round_trip(spark, d):
+    """Keys decoded from their encodings: numbers and texts, also ones that hold a NUL."""
+    t = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("int").alias("k"), F.replace(F.col("c_name"), F.lit("#"), F.lit("\0")).alias("name"))
+    back = codec.decode_string(codec.encode_string(F.col("name")))
+    return t.select(codec.decode_int(codec.encode_int(F.col("k"))).alias("k"), F.hex(back).alias("name_hex"), F.octet_length(codec.encode_string(F.col("name"))).alias("size"))
+
+
 def key_order(spark, d):
     """Encoded string keys order as their texts do, byte by byte."""
     t = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("name")).distinct()
@@ -307,6 +314,28 @@ def _framed(log: DataFrame) -> DataFrame:
     return rows.groupBy("seg").applyInArrow(framed, "path string, content binary")  # a segment's puts
 
 
+def sstable_scan(spark, d):
+    """Each segment of the event log in the row format of data files, read back: every entry, and how many index entries its file has."""
+    ship(spark)
+    from tidemark.sources import sstable
+
+    rows = segments(events_log(spark, d)).select(F.col("k").cast("int").alias("k"), "seq", "tomb", F.encode(F.col("seq").cast("string"), "UTF-8").alias("v"), "seg")
+
+    def stored(part):
+        import struct
+
+        import pyarrow as pa
+
+        part = part.sort_by("k")
+        columns = zip(*(part.column(c).to_pylist() for c in ("k", "seq", "tomb", "v")), strict=True)
+        data, index, _ = sstable.write_bytes([(k, s, None if t else v) for k, s, t, v in columns])
+        return pa.table({"path": pa.array([f"{part.column('seg')[0]}:{struct.unpack_from('>i', index)[0]}"]), "content": pa.array([data], pa.binary())})
+
+    back = sstable.decoded(rows.groupBy("seg").applyInArrow(stored, "path string, content binary"))
+    name = F.split("file", ":")
+    return back.select(name[0].cast("int").alias("seg"), name[1].cast("int").alias("index_entries"), F.col("key").alias("k"), "seq", "tombstone", F.decode("value", "UTF-8").alias("v"))
+
+
 def _damaged(files: DataFrame) -> DataFrame:
     """The logs with their middle record damaged in a way that the file's number tells; every sixth stays whole."""
 
@@ -391,8 +420,12 @@ def store_scan(spark, d):
 
 
 def store_tail(spark, d):
-    """One flushed batch and one that is not: a scan reads segment and tail together."""
-    return _valued(_filled_store(spark, orders_log(spark, d), (6000,), flush=1).scan())
+    """One flushed batch and one that is not, closed and opened again: a scan reads segment and tail together."""
+    from tidemark.plans.store import Store
+
+    store = _filled_store(spark, orders_log(spark, d), (6000,), flush=1)
+    store.close()
+    return _valued(Store(spark, store.path).scan())
 
 
 def store_compacted(spark, d):
@@ -464,8 +497,8 @@ QUERIES = {
     for f in (
         live_view, latest_raw, scan_range, scan_limit, multi_get, point_get, time_travel, manifest, segment_bytes, sparse_index, read_amp_range, floor_key,
         ceiling_key, merge_drop_all, merge_retain, level_split, keys_per_file, segment_overlap, read_amp_levelled, space_amp, write_amp, tombstone_count,
-        version_diff, shadowed_versions, encoded_key_hex, key_order, ycsb_e_ranges, read_modify_write, size_tiered_buckets, size_tiered_selection, full_selection,
-        leveled_selection, bloom_fpr, absent_keys, wal_replay, wal_stop_reasons, wal_truncated, store_scan, store_tail, store_compacted, store_partial, store_snapshot,
+        version_diff, shadowed_versions, encoded_key_hex, key_round_trip, key_order, ycsb_e_ranges, read_modify_write, size_tiered_buckets, size_tiered_selection, full_selection,
+        leveled_selection, bloom_fpr, absent_keys, sstable_scan, wal_replay, wal_stop_reasons, wal_truncated, store_scan, store_tail, store_compacted, store_partial, store_snapshot,
         store_background, latencies, load_order, stream_latest, flush_segments,
     )
 }
@@ -548,6 +581,8 @@ SQL = {
     "FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v",
     "shadowed_versions": f"WITH {ORDERS} SELECT k, count(*) - 1 AS shadowed FROM orders_log GROUP BY k",
     "encoded_key_hex": f"WITH {ORDERS} SELECT DISTINCT k, lpad(upper(to_hex(k + 2147483648)), 8, '0') AS encoded FROM orders_log",
+    "key_round_trip": "SELECT c_custkey::INTEGER AS k, hex(encode(n)) AS name_hex, octet_length(encode(n)) + (length(n) - length(replace(n, chr(0), ''))) + 2 AS size FROM (SELECT c_custkey, replace(c_name, '#', chr(0)) AS n FROM customer)",
+    "sstable_scan": f"WITH {EVENTS}, {SEGS.format(log='events_log')} SELECT seg, ((count(*) OVER (PARTITION BY seg) + 15) // 16)::INTEGER AS index_entries, k::INTEGER AS k, seq, tomb AS tombstone, CASE WHEN NOT tomb THEN seq::VARCHAR END AS v FROM segs",
     "key_order": "SELECT c_name AS name, hex(encode(c_name)) || '0000' AS encoded, row_number() OVER (ORDER BY c_name) AS place FROM (SELECT DISTINCT c_name FROM customer)",
     "ycsb_e_ranges": f"WITH {ORDERS} SELECT c_custkey AS r, count(k) AS n FROM customer LEFT JOIN ({_live_sql('orders_log')}) l ON k BETWEEN c_custkey AND c_custkey + c_custkey % 10 GROUP BY c_custkey",
     "read_modify_write": f"WITH {ORDERS} SELECT k, seq + 1000000000 AS seq, tomb, v + 1 AS v FROM ({_live_sql('orders_log')})",

@@ -54,9 +54,9 @@ def read_bytes(raw: bytes, strings: bool = False):
     return out, level, last
 
 
-def read_sstables(spark: SparkSession, path: str, key: T.DataType | None = None) -> DataFrame:
-    """(file, level, key, seq, tombstone, value) of all data files under path."""
-    ship(spark)
+def decoded(files: DataFrame, key: T.DataType | None = None) -> DataFrame:
+    """(file, level, key, seq, tombstone, value) of data files (path, content)."""
+    ship(files.sparkSession)
     kind = key or T.IntegerType()
     strings = isinstance(kind, T.StringType)
     schema = pa.schema([("file", pa.string()), ("level", pa.int32()), ("key", pa.string() if strings else pa.int32()), ("seq", pa.int64()), ("tombstone", pa.bool_()), ("value", pa.binary())])
@@ -68,5 +68,9 @@ def read_sstables(spark: SparkSession, path: str, key: T.DataType | None = None)
                 for i in range(0, len(entries), 10_000):
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, level, k, s, v is None, v), strict=True)) for k, s, v in entries[i : i + 10_000]], schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "dataFile-*").load(path).select("path", "content")
-    return files.mapInArrow(run, f"file string, level int, key {kind.simpleString()}, seq long, tombstone boolean, value binary")
+    return files.select("path", "content").mapInArrow(run, f"file string, level int, key {kind.simpleString()}, seq long, tombstone boolean, value binary")
+
+
+def read_sstables(spark: SparkSession, path: str, key: T.DataType | None = None) -> DataFrame:
+    """decoded() of all data files under path."""
+    return decoded(spark.read.format("binaryFile").option("pathGlobFilter", "dataFile-*").load(path), key)
