@@ -13,8 +13,9 @@ With 40 bands of 6 rows a pair at similarity 0.8 shares no bucket with probabili
 at 0.3 does share one with probability 0.03: passages that many documents share make few needless pairs.
 
 Edges: null and empty texts and texts without words have no shingles, are linked with nothing and stay. Fewer words than
-`shingle` make one shingle. Rows that repeat a doc_id with equal sets are one class and share their fate. A null
-doc_id takes part: components are named by the least non-null doc_id, or null if there is none.
+`shingle` make one shingle. Very long texts are signed and compared whole. Rows that repeat a doc_id with equal sets are one class and
+share their fate in near_duplicates(); stage() keeps one of them. A null doc_id takes part: components are named by the least non-null
+doc_id, or null if there is none. An empty table gives no rows. near_duplicates() ignores other columns; stage() passes them through.
 """
 
 from __future__ import annotations
@@ -236,7 +237,8 @@ def _between_roots(member: DataFrame, root: DataFrame, tested: DataFrame, classe
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), most: int = 1_000_000, bucket: int = 16, block: int = 256) -> DataFrame:
-    """(doc_id, mark, n_shingles, component_id, kept) per row of docs (doc_id, text); mark is xxhash64(text).
+    """(doc_id, mark, n_shingles, component_id, kept, group) per row of docs (doc_id, text); mark is xxhash64(text), group a number of the
+    component, null for texts without words.
 
     most: rows of a few numbers up to which a side is broadcast; beyond, Spark shuffles it.
     """
@@ -265,10 +267,10 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), most: i
     owner = named.join(root, F.col("cid") == F.col("node"), "left").select("d1", "d2", "least_id", F.coalesce("root", "cid").alias("first"))
     owner = owner.join(again, F.col("first") == F.col("node"), "left").select("d1", "d2", "least_id", F.coalesce("root", "first").alias("root"))
     least = owner.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    owner = written(owner.join(least, "root").select("d1", "d2", "component_id"), "owners")
-    alone = signed.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = full.join(owner, ["d1", "d2"]).select("doc_id", "mark", "n_shingles", "component_id")
-    return found.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    owner = written(owner.join(least, "root").select("d1", "d2", "component_id", "root"), "owners")
+    alone = signed.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    found = full.join(owner, ["d1", "d2"]).select("doc_id", "mark", "n_shingles", "component_id", F.col("root").alias("group"))
+    return found.union(alone).select("doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -277,10 +279,21 @@ def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that of the least doc_id; rows that repeat both its id and text stay with it."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "mark").distinct()
-    gone = small(written(gone, "gone"), 1_000_000)
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (F.xxhash64(docs.text) == gone.mark), "left_anti")
+    """Keeps one row of each group of near-duplicates: that of the least doc_id (nulls last), then of the least hash of its text, and
+    one of rows that repeat both. Texts without words stay, each row of them."""
+    found = written(near_duplicates(docs).where("group is not null").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("times")), "found")
+    name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
+    best = found.groupBy("group").agg(F.min(name).alias("best"), F.sum("times").alias("n")).where("n > 1").select("group", "best")
+    several = found.join(best, "group").withColumn("is_best", name.eqNullSafe(F.col("best")))
+    gone = small(written(several.where("not is_best").select(F.col("doc_id").alias("gone_id"), "mark"), "gone"), 1_000_000)
+    twice = small(written(several.where("is_best and times > 1").select(F.col("doc_id").alias("twice_id"), F.col("mark").alias("twice_mark")), "twice"), 1_000_000)
+    text = F.xxhash64(docs.text)
+    left = docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id) & (text == gone.mark), "left_anti")
+    if twice.isEmpty():
+        return left
+    same = docs.doc_id.eqNullSafe(twice.twice_id) & (text == twice.twice_mark)
+    one = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same, "left_anti").unionByName(one)
 
 
 OP4_SQL = r"""
