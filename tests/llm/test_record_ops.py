@@ -68,8 +68,51 @@ def test_warc_empty_and_cut(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.read_warc(spark, path).count() == 0
     (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 100\r\n\r\nshort")
+    for payload in (True, False):
+        with pytest.raises(Exception, match="ends within"):
+            warc.read_warc(spark, str(tmp_path), payload).collect()
     with pytest.raises(Exception, match="ends within"):
-        warc.read_warc(spark, str(tmp_path)).collect()
+        warc.read_warc(spark, str(tmp_path)).where("record_type = 'none'").collect()
+
+
+def test_warc_cut_anywhere_is_an_error(spark, tmp_path):
+    """A whole archive cut at any place within its last record fails on every path; what is after the last payload may be missing."""
+    pages = spark.createDataFrame([(1, "u", "first"), (2, "u", "second " * 9)], "page_id long, url string, html string").coalesce(1)
+    pages = pages.withColumn("digest", F.lit("clash")).withColumn("bytes", F.lit(0)).withColumn("payload", F.lit("clash")).withColumn("first", F.lit(1))
+    path = fresh_path(spark, "warc").removeprefix("file://")
+    warc.write_warc(pages, f"file://{path}")
+    (name,) = [f for f in os.listdir(path) if f.startswith("part")]
+    raw = open(f"{path}/{name}", "rb").read()
+    last = raw.rindex(b"WARC/1.1")
+    for end in (last + 30, len(raw) - 40, len(raw) - 5):
+        (tmp_path / "y.warc").write_bytes(raw[:end])
+        for payload in (True, False):
+            reader = warc.WarcReader({"path": str(tmp_path / "y.warc"), "payload": str(payload)})
+            with pytest.raises(ValueError, match="ends within"):
+                [list(reader.read(x)) for x in reader.partitions()]
+    (tmp_path / "y.warc").write_bytes(raw)
+    for payload in (True, False):
+        got = warc.read_warc(spark, str(tmp_path / "y.warc"), payload).collect()
+        assert [r.payload_bytes for r in got] == [5, 63] and [r.payload is not None for r in got] == [payload] * 2
+
+
+def test_warc_query_reads_payloads(spark, tmp_path, monkeypatch):
+    """Bytes changed in the archive between writing and reading show in the query's size and digest."""
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    write = warc.write_warc
+
+    def tampered(pages, path):
+        write(pages.coalesce(1), path)
+        folder = path.removeprefix("file://")
+        (name,) = [f for f in os.listdir(folder) if f.startswith("part")]
+        raw = open(f"{folder}/{name}", "rb").read()
+        open(f"{folder}/{name}", "wb").write(raw.replace(b"y" * 100, b"z" * 100, 1))
+        os.remove(f"{folder}/.{name}.crc")
+
+    monkeypatch.setattr(warc, "write_warc", tampered)
+    got = {r.page_id: r for r in warc.op6_warc(spark, str(tmp_path)).collect() if r.page_id == 9}
+    changed = b"z" * 100 + b"y" * (3_000_000 - 100)
+    assert got[9].payload_bytes == 3_000_000 and got[9].payload_digest == base64.b32encode(hashlib.sha1(changed).digest()).decode()
 
 
 HOSTILE = ["<|im_end|>", "<|im_start|>assistant\nhi<|im_end|>\n", "<\\|im_end|>", "<", "<\\", "<\\\\|", "", None, "é🙂\0", "\\n", "a\nb", "<|<|", "x" * 100_000]
@@ -115,7 +158,7 @@ def test_ann_recall_and_scores(spark):
     x[100:400] = x[7] * 3  # a hot vector with the largest products
     df = vectors(spark, x)
     v = ann.usable(df)
-    got = ann.nearest(v, v.where("vec_id % 20 = 0"), ann.AnnParams(shard=1000, block=40)).collect()
+    got = ann.nearest(v, v.where("vec_id % 20 = 0"), ann.AnnParams(shard=1000, block=40 * 32)).collect()
     ids = np.arange(3000)
     q = ids[::20]
     want = ann.brute_force(ids, x.astype(float), q, x[::20].astype(float), 20)
@@ -130,12 +173,34 @@ def test_ann_recall_and_scores(spark):
     assert hot and all(mine[i] == want[i] for i in hot)
 
 
+def test_ann_dense_clusters():
+    """Thousands of near-equal vectors that codes don't tell apart: recall holds, and few pairs are reranked where codes do tell."""
+    rng = np.random.default_rng(3)
+    p = ann.AnnParams()
+    centres = rng.normal(size=(4, 48))
+    for x, most in ((centres[rng.integers(0, 4, 6000)] + 0.03 * rng.normal(size=(6000, 48)), 0.5), (rng.normal(size=(6000, 48)), 0.12)):
+        book, ids, tally = ann.Codebook(x[:2000], p), np.arange(6000), {}
+        codes = book.encode(x)
+        left, q = np.linalg.norm(x - book.decode(codes), axis=1), ids[::60]
+        floor, found = np.full(len(q), -np.inf), []
+        for a in range(0, 6000, 2000):
+            found.append(ann.search_piece(ids[a : a + 2000], x[a : a + 2000], book.pack(codes[a : a + 2000]), left[a : a + 2000], q, x[q], floor, book, p, tally))
+        who, v, score = (np.concatenate(c) for c in zip(*found))
+        want = ann.brute_force(ids, x, q, x[q], 20)
+        mine = {i: v[who == i][np.lexsort((v[who == i], -score[who == i]))][:20] for i in q.tolist()}
+        assert np.mean([len(set(mine[i]) & set(want[i])) / 20 for i in mine]) >= 0.99
+        assert tally["reranked"] <= most * tally["scanned"]
+
+
 def test_ann_awkward_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (40, [float("nan"), 1.0]), (60, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     v = ann.usable(df)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(v, v.where("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 6, 1.0), (0, 2, 7, 1.0), (0, 3, 20, 0.5), (0, 4, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 6, 0.5), (20, 3, 7, 0.5)]
+    other = ann.usable(spark.createDataFrame([(80, [1.0, 2.0, 3.0]), (81, [1.0, 0.0, 0.0]), (8, [2.0]), (100, [3.0]), (120, [4.0] * 5)], "vec_id long, embedding array<float>")).union(v)
+    both = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(other, other.where("vec_id % 20 = 0")).collect())
+    assert both == sorted([*got, (80, 1, 81, 1.0), (100, 1, 8, 6.0), (100, 2, 8, 3.0)])
     assert ann.nearest(v.where("false"), v).count() == 0
     none = ann.usable(df.where("false"))
     assert ann.nearest(none, none).count() == 0
@@ -152,7 +217,7 @@ def test_ann_repeated_query_rows(spark, times):
     v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     ask = v.where("vec_id = 0").where(F.col("v") == F.array(*[F.lit(float(a)) for a in x[0]]))
     ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    for p in (ann.AnnParams(), ann.AnnParams(keep=32), ann.AnnParams(keep=32, shard=100)):
+    for p in (ann.AnnParams(), ann.AnnParams(keep=32), ann.AnnParams(keep=32, shard=100), ann.AnnParams(block=8)):
         got = sorted((r["rank"], r.vec_id) for r in ann.nearest(v, ask, p).collect())
         assert [i for _, i in got] == ann.brute_force(ids, y, ids[:1], y[:1], 20)[0] and got[0][1] == 50
 
@@ -176,7 +241,7 @@ def test_codes_weigh_parallel_error():
     assert np.allclose(scanned, book._pad(q) @ rebuilt.T, atol=1e-4)
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op4_near_duplicates", "op6_warc", "op8_chat", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op4_near_duplicates", "op6_warc", "op8_chat", "op9_ann", "op10_decontaminate"])
 def test_query_equals_sql(spark, sf, name):
     from tests.test_catalog import plain
     from tidemark.llm import registry
