@@ -58,3 +58,15 @@ def test_neighbours(spark, table):
     assert len(floor) == len(above) == 470
     assert all(f == (xs[bisect.bisect_right(xs, p) - 1] if xs[0] <= p else None) for p, f in floor)
     assert all(c == (xs[bisect.bisect_left(xs, p)] if p <= xs[-1] else None) for p, c in above)
+
+
+def test_shared_tables_are_written_once_and_cleared(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tidemark import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = session.written(spark.range(5), "five")
+    assert df.count() == 5 and all(f"{tmp_path}/tidemark/{spark.sparkContext.applicationId}/" in f for f in df.inputFiles())
+    session.clear_shared(spark)
+    assert not list(Path(tmp_path).rglob("*.parquet"))

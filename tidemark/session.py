@@ -39,8 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    """A path of its own under this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; for the end of a run, as lazy results read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
