@@ -1,7 +1,7 @@
 """A versioned key-value store over Parquet segments: batched writes, snapshot reads, flush, compaction, vacuum.
 
-A batch is the unit of durability: put_batch() writes its rows as Parquet and commits the manifest once. Un-flushed
-batches form the tail; flush() writes the latest version per key of the tail as level-0 segments, tombstones included.
+A batch is the unit of durability: put_batch() writes its rows as Parquet once, with numbers of their own, and commits the manifest, which
+says where in the sequence they begin. Un-flushed batches form the tail; flush() writes the latest version per key of the tail as level-0 segments, tombstones included.
 Reads bind to one manifest version, skip segments by key range (and, for single keys, by bloom filter), and
 merge what is left by greatest seq.
 """
@@ -9,6 +9,7 @@ merge what is left by greatest seq.
 from __future__ import annotations
 
 import dataclasses
+import functools
 import itertools
 import threading
 import time
@@ -54,9 +55,7 @@ class Snapshot:
         self.close()
 
     def _rows(self, parts: Iterable[Segment]) -> DataFrame:
-        paths = [s.path for s in parts]
-        schema = self.store.schema
-        return self.store.spark.read.schema(schema).parquet(*paths) if paths else self.store.spark.createDataFrame([], schema)
+        return self.store._read(list(parts))
 
     def log(self, low=None, high=None) -> DataFrame:
         """All stored versions of keys between the bounds."""
@@ -130,10 +129,11 @@ class Snapshot:
 class Store:
     """open: Store(spark, path). Parameters take effect for this handle's writes."""
 
-    def __init__(self, spark: SparkSession, path: str, key: T.DataType | None = None, selector: Selector | None = None, tail_bytes: int = 64 << 20,
+    def __init__(self, spark: SparkSession, path: str, key: T.DataType | None = None, selector: Selector | None = None, tail_bytes: int = 64 << 20, tail_parts: int = 64,
                  file_bytes: int = 128 << 20, bloom_rate: float = bloom.RATE, background: bool = False):
+        # the tail is flushed at tail_bytes or tail_parts batches, whichever comes first
         self.spark, self.path, self.selector = spark, path.rstrip("/"), selector or SizeTiered()
-        self.tail_bytes, self.file_bytes, self.bloom_rate, self.background = tail_bytes, file_bytes, bloom_rate, background
+        self.tail_bytes, self.tail_parts, self.file_bytes, self.bloom_rate, self.background = tail_bytes, tail_parts, file_bytes, bloom_rate, background
         self.manifest = Manifest(spark, self.path)
         self._pins: dict[int, Snapshot] = {}
         self._blooms: dict[str, bytes] = {}
@@ -205,55 +205,55 @@ class Store:
         rows = checked(rows.withColumn("key", F.col("key").cast(self.key_type)).withColumn("value", F.col("value").cast("binary")))
         if "order" in rows.columns:
             rows = rows.repartitionByRange("order").sortWithinPartitions("order")
-        # numbers within partitions first; the partitions' counts then give each its place
-        stage = f"{self.path}/stage/{uuid.uuid4().hex}"
-        rows.select("key", "tombstone", "value", F.monotonically_increasing_id().alias("n")).write.parquet(stage)
-        staged = self.spark.read.schema(T.StructType([*(f for f in self.schema if f.name != "seq"), T.StructField("n", T.LongType())])).parquet(stage)
-        told = staged.groupBy(F.shiftright("n", 33).alias("p")).agg(*self._told()).orderBy("p").collect()  # a row per partition
+        # rows get numbers within their partitions; the partitions' counts, in the manifest, give each its place in the sequence
+        path = f"{self.path}/tail/{uuid.uuid4().hex}"
+        rows.select("key", "tombstone", "value", F.monotonically_increasing_id().alias("n")).write.parquet(path)
+        told = self._staged(path).groupBy(F.shiftright("n", 33).alias("p")).agg(*self._told()).orderBy("p").collect()  # a row per partition
         if not told:
-            self.manifest.files.delete(stage)
+            self.manifest.files.delete(path)
             return now
-        total, offsets = 0, [0] * (told[-1].p + 1)  # a number per partition
+        total, offsets = 0, [0] * (told[-1].p + 1)
         for r in told:
             offsets[r.p] = total
             total += r.n
-        offset = F.get(F.expr(f"array({', '.join(f'{o}L' for o in offsets)})"), F.shiftright("n", 33).cast("int"))
-        numbered = staged.withColumn("at", offset + F.col("n").bitwiseAND((1 << 33) - 1) + 1)
-        path = f"{self.path}/tail/{uuid.uuid4().hex}"
-        part = Segment(path, -1, total, sum(r.t for r in told), min(r.lo for r in told), max(r.hi for r in told), 0, sum(r.b for r in told) + codec.FILE_HEAD)
+        part = Segment(path, -1, total, sum(r.t for r in told), min(r.lo for r in told), max(r.hi for r in told), 0, sum(r.b for r in told) + codec.FILE_HEAD, offsets=tuple(offsets))
 
         def change(v: Version) -> Version:
             if _replayed(v, batch_id):
                 raise CommitConflict("the batch is there already")
+            numbered = dataclasses.replace(part, base=v.last_seq, max_seq=v.last_seq + total)
             return dataclasses.replace(
-                v, tail=(*v.tail, dataclasses.replace(part, max_seq=base + total)), last_seq=base + total, put_bytes=v.put_bytes + part.bytes,
-                written_bytes=v.written_bytes + 2 * part.bytes,  # once as the staged batch, once numbered
+                v, tail=(*v.tail, numbered), last_seq=numbered.max_seq, put_bytes=v.put_bytes + part.bytes, written_bytes=v.written_bytes + part.bytes,
                 batches=v.batches | ({stream: number} if batch_id is not None else {}),
             )
 
-        while True:
-            # the sequence numbers rest on the last version's; another writer's commit means numbering anew
+        try:
+            done = self.manifest.commit(change)  # of two writers the later one's rows follow: nothing is written anew
+        except CommitConflict:
+            self.manifest.files.delete(path)
+            now = self.manifest.load()
             if _replayed(now, batch_id):
-                self.manifest.files.delete(stage)
                 return now
-            base = now.last_seq
-            numbered.select("key", (F.col("at") + base).alias("seq"), "tombstone", "value").write.mode("overwrite").parquet(path)
-
-            def only_next(v: Version, base=base) -> Version:
-                if v.last_seq != base:
-                    raise CommitConflict("other rows came first")
-                return change(v)
-
-            try:
-                done = self.manifest.commit(only_next)
-                break
-            except CommitConflict:
-                now = self.manifest.load()
-        self.manifest.files.delete(stage)
-        if sum(s.bytes for s in done.tail) >= self.tail_bytes:
+            raise
+        if sum(s.bytes for s in done.tail) >= self.tail_bytes or len(done.tail) >= self.tail_parts:
             done = self.flush()
         return done
 
+    def _staged(self, path: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*(f for f in self.schema if f.name != "seq"), T.StructField("n", T.LongType())])).parquet(path)
+
+    def _read(self, parts: list[Segment]) -> DataFrame:
+        """All rows of segments and of batches in the tail, the latter with their sequence numbers."""
+        found = []
+        if plain := [s.path for s in parts if s.level >= 0]:
+            found.append(self.spark.read.schema(self.schema).parquet(*plain))
+        for s in parts:
+            if s.level < 0:
+                before = F.get(F.expr(f"array({', '.join(f'{o}L' for o in s.offsets)})"), F.shiftright("n", 33).cast("int"))
+                seq = (before + F.col("n").bitwiseAND((1 << 33) - 1) + F.lit(s.base + 1)).alias("seq")
+                found.append(self._staged(s.path).select("key", seq, "tombstone", "value"))
+        return functools.reduce(DataFrame.union, found) if found else self.spark.createDataFrame([], self.schema)
+
     def _told(self) -> list:
         """What a manifest tells of rows, as aggregates."""
         size = codec.record_size(F.col("key"), self.key_type, F.col("tombstone"), F.coalesce(F.octet_length("value"), F.lit(0)))
@@ -303,8 +303,7 @@ class Store:
         now = self.manifest.load()
         if not now.tail:
             return now
-        rows = self.spark.read.schema(self.schema).parquet(*[s.path for s in now.tail])
-        new = self._write_segments(reads.latest(rows), 0, now.tail)
+        new = self._write_segments(reads.latest(self._read(list(now.tail))), 0, now.tail)
         done = self._install(now.tail, new, "tail")
         if self.background:
             self.compact_async()
@@ -342,13 +341,12 @@ class Store:
         target = level if level is not None else (min(s.level for s in picked) + 1 if leveled else 0)
         paths = {s.path for s in picked}
         outside = [s for s in now.segments if s.path not in paths and (not leveled or s.level >= target)]
-        read = lambda parts: self.spark.read.schema(self.schema).parquet(*[s.path for s in parts])
-        rows = reads.latest(read(picked))
+        rows = reads.latest(self._read(picked))
         low = min((s.min_key for s in picked if s.min_key is not None), default=None)
         high = max((s.max_key for s in picked if s.max_key is not None), default=None)
         covering = [s for s in outside if s.overlaps(low, high)]
         if covering:
-            held = rows.where("tombstone").join(read(covering).select("key").distinct(), "key", "left_semi").select(*self.schema.names)
+            held = rows.where("tombstone").join(self._read(covering).select("key").distinct(), "key", "left_semi").select(*self.schema.names)
             rows = rows.where("not tombstone").unionByName(held)
         else:
             rows = rows.where("not tombstone")
@@ -408,7 +406,7 @@ class Store:
             named |= {s.path for s in (*pin.version.segments, *pin.version.tail)} | {s.bloom for s in pin.version.segments if s.bloom}
         plain = {_plain(p) for p in named}
         limit, deleted, files = time.time() - older_than_s, [], self.manifest.files
-        for folder in ("data", "tail", "stage"):
+        for folder in ("data", "tail"):
             for name in files.names(f"{self.path}/{folder}"):
                 p = f"{self.path}/{folder}/{name}"
                 if any(n == _plain(p) or n.startswith(_plain(p) + "/") for n in plain):
