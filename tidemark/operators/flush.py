@@ -1,8 +1,9 @@
 """Which put of a log goes to which flush, by the bytes that a write buffer counts.
 
 A new key counts its key and value, an overwrite only the difference of the values; the buffer is flushed, and begins anew,
-once its size reaches the threshold. Each boundary depends on all puts before it, so this is one ordered stream; it
-holds one buffer's keys and sizes. The store itself needs no such boundaries: it flushes by whole batches.
+once its size reaches the threshold. Each boundary depends on all puts before it, so sequence numbers, encoded keys and sizes, a few
+bytes a put, go through one ordered stream that holds one buffer's keys; it gives one row a flush, and the rows of the log get
+their flush by a running count of boundaries over ranges. The store itself needs no such boundaries: it flushes by whole batches.
 """
 
 from __future__ import annotations
@@ -10,38 +11,36 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import codec
-from tidemark.session import ship
+from tidemark.operators.running import running
+from tidemark.session import ship, written
 
 
 def flush_boundaries(log: DataFrame, threshold: int, payload_bytes: Column, key: str = "key", seq: str = "seq", tombstone: str = "tombstone") -> DataFrame:
     """log with `flush`: the number of the flush that takes each row, and -1 for rows left in the buffer at the end."""
     ship(log.sparkSession)
     kind = log.schema[key].dataType
-    sized = log.select("*", codec.encode(F.col(key), kind).alias("__k"), codec.key_size(F.col(key), kind).cast("long").alias("__kb"), codec.value_size(F.col(tombstone), payload_bytes).cast("long").alias("__vb"))
+    sized = log.select(
+        F.col(seq).cast("long").alias("seq"), codec.encode(F.col(key), kind).alias("k"),
+        codec.key_size(F.col(key), kind).cast("long").alias("kb"), codec.value_size(F.col(tombstone), payload_bytes).cast("long").alias("vb"),
+    )
 
     def run(batches):
-        buffer, size, number, waiting = {}, 0, 0, []
-
-        def out(rows, flush):
-            for keep in rows:
-                yield keep.append_column("flush", pa.array([flush] * keep.num_rows, pa.int32()))
-
+        buffer, size = {}, 0
         for batch in batches:
-            keep = batch.select([n for n in batch.schema.names if n not in ("__k", "__kb", "__vb")])
-            begin = 0
-            for i, (k, kb, vb) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__k", "__kb", "__vb")), strict=True)):
+            ends = []
+            for at, k, kb, vb in zip(*(batch.column(c).to_pylist() for c in ("seq", "k", "kb", "vb")), strict=True):
                 size += vb - buffer[k] if k in buffer else kb + vb
                 buffer[k] = vb
                 if size >= threshold:
-                    waiting.append(keep.slice(begin, i + 1 - begin))
-                    yield from out(waiting, number)
-                    buffer, size, number, waiting, begin = {}, 0, number + 1, [], i + 1
-            if begin < batch.num_rows:
-                waiting.append(keep.slice(begin))
-        yield from out(waiting, -1)
-
-    ordered = sized.repartition(1).sortWithinPartitions(seq)
-    return ordered.mapInArrow(run, T.StructType([*log.schema.fields, T.StructField("flush", T.IntegerType())]))
+                    ends.append(at)
+                    buffer, size = {}, 0
+            yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64())], ["last"])
+
+    ends = written(sized.repartition(1).sortWithinPartitions("seq").mapInArrow(run, "last long"), "flushes")
+    total = ends.count()
+    rows = log.withColumn("__x", F.col(seq).cast("long")).withColumn("__end", F.lit(0).cast("long"))
+    marks = ends.select(F.col("last").alias("__x"), F.lit(1).cast("long").alias("__end"))
+    counted = running(rows.unionByName(marks, allowMissingColumns=True), ["__x", "__end"], F.col("__end"), F.sum, "__before").where("__end = 0")
+    return counted.select(*log.columns, F.when(F.col("__before") < total, F.col("__before")).otherwise(-1).cast("int").alias("flush"))
