@@ -42,7 +42,7 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
 
 
-def bounded_batches(spark: SparkSession, records: int = 1000, size: str = "32m") -> None:
+def bounded_batches(spark: SparkSession, records: int = 1000, size: str = "8m") -> None:
     """Caps the Arrow batches that Python operators see, so that very long texts don't add up in a worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)

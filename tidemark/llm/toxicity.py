@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import bounded_batches, crc_mod5, table, written
 from tidemark.llm.textops import ALNUM, U64, mix, ngrams, parts, words
 
+#: Bytes of text that a task turns into features at once: some 60 bytes of memory for each.
+PIECE = 1 << 20
 KINDS = {"word": U64(0x51), "pair": U64(0x52), "skip": U64(0x53)}
 
 
@@ -70,7 +72,7 @@ def _pack(bits: int):
 
     def run(batches):
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", PIECE):
                 d, b = document_features(part.column("text"), bits)
                 key = np.unique(d << bits | b)
                 cut = np.searchsorted(key, np.arange(part.num_rows + 1) << bits)
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: dict[int, float], p: FtrlParams = FtrlParams()
         dense = np.zeros(1 << p.bits)
         dense[at] = w
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", PIECE):
                 got = _score(part.column("text"), dense, p.bits, bias)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], [*part.schema.names, column])
 
