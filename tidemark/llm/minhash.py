@@ -284,7 +284,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs).where("group is not null").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("times")), "found")
     name = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "mark")
     best = found.groupBy("group").agg(F.min(name).alias("best"), F.sum("times").alias("n")).where("n > 1").select("group", "best")
-    several = found.join(best, "group").withColumn("is_best", name.eqNullSafe(F.col("best")))
+    several = found.join(small(written(best, "best"), 1_000_000), "group").withColumn("is_best", name.eqNullSafe(F.col("best")))
     gone = small(written(several.where("not is_best").select(F.col("doc_id").alias("gone_id"), "mark"), "gone"), 1_000_000)
     twice = small(written(several.where("is_best and times > 1").select(F.col("doc_id").alias("twice_id"), F.col("mark").alias("twice_mark")), "twice"), 1_000_000)
     text = F.xxhash64(docs.text)
