@@ -13,7 +13,8 @@ text or role each "<" followed by n >= 0 backslashes and "|" gets one more backs
 in a role, before that, a backslash becomes two and a line feed becomes backslash n.
 
 Edges: null texts and roles are empty; only the role "assistant" counts for the mask. Rows go by turn, then role, then text,
-nulls first; repeated rows stay repeated. A null conv_id is one conversation. An empty table gives no rows.
+nulls first; repeated rows stay repeated. A null conv_id is one conversation. A conversation is one text in order, so its turns, however
+many, go through one task in pieces. A very long text is one value of a piece. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

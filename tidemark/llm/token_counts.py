@@ -9,7 +9,7 @@ The sums run in two levels, within blocks of lengths and over blocks, so no task
 Between two lengths of the table nothing changes but the cut: for a limit c between, take the row of the greatest length
 below it; truncated = tokens_upto + (documents - documents_upto) * c. limits() does that.
 
-Edges: null and empty texts have 0 tokens and are counted. Repeated rows count each. An empty table gives no rows. Texts
+Edges: null and empty texts have 0 tokens and are counted. Repeated rows count each. An empty table gives no rows. Other columns are ignored. Texts
 with very long runs of white space, which the tokenizer's pattern engine can't take at once, are split by an equal pattern first.
 """
 
