@@ -9,13 +9,15 @@ last interval is a location of it. The interval at the window's length gives all
 It is one pass over the corpus without a shuffle. The benchmark is broadcast if it has at most `max_block_words` words;
 beyond, it is split into blocks of whole items of about that size, one pass each, and the passes' hits are united by document.
 
-Edges: null and empty texts have no words: no hits, not contaminated. Items without words match nothing. Items of fewer words
+Edges: null and empty texts have no words: no hits, not contaminated. A very long text is a shard of its own, whole: some 60 bytes of
+memory a word. Empty tables give no rows and no hits. Items without words match nothing. Items of fewer words
 than the window are one window. Repeated rows and repeated items each count; a repeated item_id counts once. A null
 item_id never counts as an item, but its words hit. Other columns pass through.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,20 +228,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for t in _blocks(benchmark, window, max_block_words):
         found = _marked(docs).mapInArrow(_hits(spark.sparkContext.broadcast(t), int(t.left.max(initial=1))), schema)
         passes.append(found)
-    if len(passes) == 1:
-        united = passes[0]
-    else:
-        # rows that repeat a doc_id and text have the same hits: one row of each, then as many as there were
+    united = passes[0]
+    if len(passes) > 1:
+        # rows that repeat a doc_id and text have the same hits: each pass's hits are kept once, gathered by document, and joined to all rows once
         passes = [written(p, "hits") for p in passes]
-        rows = passes[0].groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
-        merged = passes[0].dropDuplicates(["doc_id", "mark"])
-        for p in passes[1:]:
-            p = p.dropDuplicates(["doc_id", "mark"]).toDF("id2", "mark2", "n2", "places2", "items2")
-            merged = merged.join(p, merged.doc_id.eqNullSafe(p.id2) & merged.mark.eqNullSafe(p.mark2)).select(
-                "doc_id", "mark", "n_words", F.array_union("places", "places2").alias("places"), F.array_union("items", "items2").alias("items")
-            )
-        rows = rows.toDF("id2", "mark2", "times")
-        united = merged.join(rows, merged.doc_id.eqNullSafe(rows.id2) & merged.mark.eqNullSafe(rows.mark2)).select("doc_id", "mark", "n_words", "places", "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
+        found = [p.where("size(places) > 0").dropDuplicates(["doc_id", "mark"]).select("doc_id", "mark", "places", "items") for p in passes]
+        together = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  a block's hits each
+        hits = functools.reduce(DataFrame.union, found).groupBy("doc_id", "mark").agg(together("places").alias("places"), together("items").alias("items"))
+        hits = hits.toDF("id2", "mark2", "places", "items")
+        every = passes[0].select("doc_id", "mark", "n_words")
+        united = every.join(hits, every.doc_id.eqNullSafe(hits.id2) & every.mark.eqNullSafe(hits.mark2), "left")
+        nothing = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+        united = united.select("doc_id", "mark", "n_words", nothing("places", "array<long>"), nothing("items", "array<string>"))
     items = F.array_sort(F.array_distinct(F.array_compact("items")))
     return united.select("doc_id", "mark", "n_words", F.size("places").cast("long").alias("n_hit"), items.alias("items"))
 
