@@ -28,6 +28,20 @@ def test_running(table, fold, back):
         assert got[i] == ({"sum": sum, "max": max, "min": min}[fold](seen) if seen else None)
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_each_row_is_folded_once(table, back):
+    """No frame reaches from a row to the end of its range: Spark folds such a frame anew for every row."""
+    plan = running.running(table[1], ["x", "id"], F.col("v"), F.min, back=back)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$" in plan and "unboundedfollowing$" not in plan
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_running_with_nulls_in_the_order(spark, back):
+    rows = [(None, 5), (1, 7), (None, 3), (2, 4)]
+    got = {r.v: r.run for r in running.running(spark.createDataFrame(rows, "x int, v int"), ["x", "v"], F.col("v"), F.min, back=back).collect()}
+    assert got == ({3: 3, 5: 4, 7: 4, 4: 4} if back else {3: 3, 5: 3, 7: 3, 4: 3})
+
+
 def test_ranked(table):
     rows, df = table
     got = {r.id: r.place for r in running.ranked(df, ["x", "id"]).collect()}

@@ -19,11 +19,12 @@ def running(rows: DataFrame, by: list[str], value: Column, fold, name: str = "ru
     back: from each row on instead. Rows that tie in all of `by` come in any order.
     """
     mine = written(rows.withColumn("__v", value).repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranges")
-    ends = (0, Window.unboundedFollowing) if back else (Window.unboundedPreceding, 0)
-    others = (1, Window.unboundedFollowing) if back else (Window.unboundedPreceding, -1)
+    # back: in falling order, as a frame that ends at the last row is folded anew for every row of it
+    order = [F.desc(c) if back else F.asc(c) for c in by]
+    before = Window.orderBy(F.desc("__part") if back else F.asc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     # one row per range
-    parts = mine.groupBy("__part").agg(fold("__v").alias("__sum")).select("__part", fold("__sum").over(Window.orderBy("__part").rowsBetween(*others)).alias("__carry"))
-    local = mine.withColumn("__local", fold("__v").over(Window.partitionBy("__part").orderBy(*by).rowsBetween(*ends)))
+    parts = mine.groupBy("__part").agg(fold("__v").alias("__sum")).select("__part", fold("__sum").over(before).alias("__carry"))
+    local = mine.withColumn("__local", fold("__v").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     both = F.array("__local", "__carry")
     of = {F.sum: F.when(F.col("__local").isNull() & F.col("__carry").isNull(), F.lit(None)).otherwise(F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))), F.max: F.array_max(both), F.min: F.array_min(both)}[fold]
     return local.join(parts, "__part").withColumn(name, of).select(*rows.columns, name)  # by the true size of one row per range
