@@ -1,7 +1,7 @@
 """Bloom filters over encoded keys: two 64-bit FNV-1a hashes, k probes h1 + i * h2 modulo an odd number of bits.
 
-A filter is built where the data is, one per segment, by merging partial bit sets: the aggregate sees at most one
-row of bits per task and segment, so a large segment is no burden. Probing runs in Arrow batches.
+A filter is built from the keys of its segment, dealt by segment: a key is shuffled once, and its segment has one bit set, or up to 16
+that are merged if it is large, so neither many segments nor a large one are a burden. Probing runs in Arrow batches.
 """
 
 from __future__ import annotations
@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.session import ship
+from tidemark.session import ship, written
 
 #: The FNV-1a prime, its offset basis, and the second hash's basis.
 PRIME, BASIS, BASIS2 = 0x100000001B3, 0xCBF29CE484222325, 0x84222325CBF29CE4
 RATE = 0.02
+#: Bits of a filter (some 130,000 keys) beyond which several tasks build it.
+SHARE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -68,17 +71,40 @@ def contains(filter_bytes: bytes, raw: list[bytes], shape: Shape) -> np.ndarray:
     return bits[positions(raw, shape)].all(axis=1) if raw else np.zeros(0, bool)
 
 
+def _filters(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    groups, raw = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(groups, to_arrow_type(schema["g"].dataType)), pa.array(raw, pa.binary())], ["g", "b"])
+
+
 def build_filters(rows: DataFrame, group: str, encoded: Column, shape: Shape) -> DataFrame:
-    """(group, bloom): one filter of the given shape per value of group."""
+    """(group, bloom): one filter of the given shape per value of group.
+
+    The keys of a group come to one task one after another and fill one bit set; a large group is dealt into up to 16 shares, whose bits are merged.
+    """
     ship(rows.sparkSession)
     kind = rows.schema[group].dataType
+    schema = T.StructType([T.StructField("g", kind), T.StructField("b", T.BinaryType())])
 
     def partial(batches):
+        now, bits = None, None  # the open group, as a tuple, and its bits
         for batch in batches:
-            keys = batch.column("k").to_pylist()
-            owner = batch.column("g").to_pylist()
-            for g in set(owner):
-                yield pa.RecordBatch.from_arrays([pa.array([g], batch.schema.field("g").type), pa.array([build([k for k, o in zip(keys, owner, strict=True) if o == g], shape)], pa.binary())], ["g", "b"])
+            if not batch.num_rows:
+                continue
+            owner, at = batch.column("g").to_pylist(), positions(batch.column("k").to_pylist(), shape)
+            begins = [i for i, g in enumerate(owner) if i == 0 or g != owner[i - 1]]
+            done = []
+            for i, j in zip(begins, [*begins[1:], len(owner)], strict=True):
+                if now != (owner[i],):
+                    done += [] if now is None else [(*now, np.packbits(bits, bitorder="little").tobytes())]
+                    now, bits = (owner[i],), np.zeros(shape.bits, bool)
+                bits[at[i:j].ravel()] = True
+                if len(done) * shape.bits > 1 << 25:  # 4 MB of filters
+                    yield _filters(done, schema)
+                    done = []
+            if done:
+                yield _filters(done, schema)
+        if now is not None:
+            yield _filters([(*now, np.packbits(bits, bitorder="little").tobytes())], schema)
 
     def merge(table: pa.Table) -> pa.Table:
         out = np.zeros(-(-shape.bits // 8), np.uint8)
@@ -86,7 +112,11 @@ def build_filters(rows: DataFrame, group: str, encoded: Column, shape: Shape) ->
             out |= np.frombuffer(raw, np.uint8)
         return pa.table({group: table.column("g").slice(0, 1), "bloom": pa.array([out.tobytes()], pa.binary())})
 
-    parts = rows.select(F.col(group).alias("g"), encoded.alias("k")).mapInArrow(partial, T.StructType([T.StructField("g", kind), T.StructField("b", T.BinaryType())]))
+    shares = min(16, 1 + shape.bits // SHARE)
+    dealt = rows.select(F.col(group).alias("g"), encoded.alias("k")).withColumn("share", F.pmod(F.hash("k"), F.lit(shares)))
+    parts = dealt.repartition("g", "share").sortWithinPartitions("g", "share").select("g", "k").mapInArrow(partial, schema)
+    if shares == 1:
+        return parts.select(F.col("g").alias(group), F.col("b").alias("bloom"))
     return parts.groupBy("g").applyInArrow(merge, T.StructType([T.StructField(group, kind), T.StructField("bloom", T.BinaryType())]))
 
 
@@ -109,7 +139,7 @@ def definitely_absent(filters: DataFrame, probes: DataFrame, group: str, key: st
     """
     ship(probes.sparkSession)
     schema = T.StructType([probes.schema[key], probes.schema[group]])
-    told = filters.select(F.col(group).alias("__g"), "bloom", "lo", "hi")
+    told = written(filters.select(F.col(group).alias("__g"), "bloom", "lo", "hi"), "filters")  # read twice, built once
     asked = probes.join(told, probes[group] == told["__g"])
     # bounds first: what they rule out needs no filter
     beyond = F.col("lo").isNull() | (F.col(key) < F.col("lo")) | (F.col(key) > F.col("hi"))
