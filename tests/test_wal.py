@@ -100,3 +100,11 @@ def test_damaged_files_are_cut(spark, tmp_path):
     assert [(tmp_path / "logs" / n).read_bytes() for n in "abcd"] == [raw, raw[:84], raw[:84], b""]
     assert wal.truncate_logs(spark, f"file://{tmp_path}/logs") == []
     assert wal.recovered(wal.read_wal(spark, f"file://{tmp_path}/logs")).count() == 7
+
+
+def test_batches_of_logs_are_bounded_by_bytes(spark):
+    assert [b.num_rows for b in wal.some((str(i), bytes(100)) for i in range(10))] == [10]
+    assert [b.num_rows for b in wal.some(((str(i), bytes(100)) for i in range(10)), 300)] == [3, 3, 3, 1]
+    files = spark.createDataFrame([("a", wal.frame([(1, 1, b"hello")]))], "path string, content binary")
+    assert wal.decoded(wal.truncated(files)).count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"

@@ -340,27 +340,23 @@ def _damaged(files: DataFrame) -> DataFrame:
     """The logs with their middle record damaged in a way that the file's number tells; every sixth stays whole."""
 
     def run(batches):
-        import pyarrow as pa
-
         from tidemark.sources import wal
 
+        def harmed(path, raw):
+            starts, at = [], 0
+            while at < len(raw):
+                starts.append(at)
+                at += wal.HEAD.size + wal.HEAD.unpack_from(raw, at)[3]
+            m, kind = starts[len(starts) // 2], int(path) % 6
+            change = {2: (m, 4), 3: (m + 16, 4), 5: (m + 8, 8)}.get(kind)  # magic, length, tag
+            if kind == 1:
+                return raw[: m + 10]
+            if kind == 4:
+                return raw[: m + 20] + bytes([raw[m + 20] ^ 1]) + raw[m + 21 :]
+            return raw[: change[0]] + b"\0" * change[1] + raw[change[0] + change[1] :] if change else raw
+
         for b in batches:
-            out = []
-            for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                starts, at = [], 0
-                while at < len(raw):
-                    starts.append(at)
-                    at += wal.HEAD.size + wal.HEAD.unpack_from(raw, at)[3]
-                m, kind = starts[len(starts) // 2], int(path) % 6
-                change = {2: (m, 4), 3: (m + 16, 4), 5: (m + 8, 8)}.get(kind)  # magic, length, tag
-                if kind == 1:
-                    raw = raw[: m + 10]
-                elif kind == 4:
-                    raw = raw[: m + 20] + bytes([raw[m + 20] ^ 1]) + raw[m + 21 :]
-                elif change:
-                    raw = raw[: change[0]] + b"\0" * change[1] + raw[change[0] + change[1] :]
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+            yield from wal.some((path, harmed(path, raw)) for path, raw in wal.logs(b))
 
     return files.mapInArrow(run, "path string, content binary")
 
